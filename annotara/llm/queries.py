@@ -6,16 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import byte_bpe, exact_dedup, packing, simhash_dedup, token_files
 from .common import table, tune
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.query(table(spark, sf_dir, "documents"), _vocabulary(token_files.VOCABULARY))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary(packing.VOCABULARY))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.query(table(spark, sf_dir, "documents"), _vocabulary(byte_bpe.VOCABULARY), public_tokenizers.PATTERN)
+
+
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.query(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.query(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op10_exact_dedup]
+    found = [op2_token_files, op7_packing, op8_byte_bpe, op9_simhash_dedup, op10_exact_dedup]
 
     def tuned(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
