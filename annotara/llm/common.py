@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -47,6 +48,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a stored() table that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished stages now, not at its next long pause."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_of(col: str = "text") -> Column:
     """The text, a null as the empty one."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
