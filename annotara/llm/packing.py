@@ -196,7 +196,7 @@ def measured(docs: DataFrame, vocabulary_path: str, end_id: int, window: int, bl
         coder, end, crc = word_ids(vocabulary_path), end_id.to_bytes(4, "little"), zlib.crc32
         for b in batches:
             tokens, full, rest, blocks = [], [], [], []
-            for x in coder.encode(b.column(1).to_pylist()):
+            for x in coder.encode(b.column(1).cast(pa.binary()).to_pylist()):
                 x += end
                 n = len(x) // 4
                 cut = n // window * window * 4

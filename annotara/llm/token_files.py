@@ -43,7 +43,7 @@ def encode_rows(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = word_ids(vocabulary_path), end_id.to_bytes(4, "little")
         for b in batches:
-            packed = [x + end for x in coder.encode(b.column(1).to_pylist())]
+            packed = [x + end for x in coder.encode(b.column(1).cast(pa.binary()).to_pylist())]
             sizes = np.fromiter((len(x) // 4 for x in packed), np.int64, len(packed))
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
@@ -69,7 +69,7 @@ def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: in
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start and n_tokens from the metadata columns alone."""
     rows = _placed(read_tokens(spark, path)).select("doc_id", "n_tokens", "file", "row")
-    return _started(rows).select("doc_id", "start", "n_tokens")
+    return _started(rows, rows).select("doc_id", "start", "n_tokens")
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -77,10 +77,10 @@ def _placed(rows: DataFrame) -> DataFrame:
     return rows.select("*", name.alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def _started(rows: DataFrame) -> DataFrame:
-    """Adds start: ids before the row, over files in order and rows in order.  The window without a
-    key sees one row per file."""
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("in_file"))
+def _started(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Adds start: ids before the row, over files in order and rows in order; sizes has file and n_tokens.
+    The window without a key sees one row per file."""
+    files = sizes.groupBy("file").agg(F.sum("n_tokens").alias("in_file"))
     before = files.select("file", (F.sum("in_file").over(Window.orderBy("file")) - F.col("in_file")).alias("before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
     return rows.withColumn("inside", inside).join(before, "file").withColumn("start", (F.col("before") + F.col("inside")).cast("long"))
@@ -98,7 +98,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "file", "row", "n_tokens", "ids_crc32"])
 
     rows = _placed(read_tokens(spark, path)).select("doc_id", "file", "row", "ids").mapInArrow(run, "doc_id long, file long, row long, n_tokens long, ids_crc32 long")
-    return _started(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return _started(rows, _placed(read_tokens(spark, path)).select("file", "n_tokens")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def query(docs: DataFrame, vocabulary_path: str) -> DataFrame:

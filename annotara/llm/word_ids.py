@@ -2,17 +2,49 @@
 
 The vocabulary's splitting pattern never matches white space, its normaliser works within words, and
 ASCII white space neither composes nor decomposes.  So the ids of a text are the ids of its words one
-after the other, and a word that was seen before needs no second call.  Two more steps keep the ids and
-make words repeat more often: ASCII letters are lowered first, as the vocabulary does anyway, and a
-single "." or "," after an ASCII letter is a match of its own.
+after the other, and a word that was seen before needs no second call.  ASCII letters are lowered first,
+as the vocabulary does anyway.  New words of Latin-1 small letters, which the normaliser leaves and the
+pattern matches whole, go to the vocabulary's merge model many at a time, their ids told apart by the
+mark that ends a word's last token; a run of ASCII marks behind such a word (no apostrophe among them) is
+a match of its own.
+
+Words are found again by a 64-bit hash in a table of numpy arrays: a block of text is hashed, looked up
+and its ids gathered without a step of Python per word.
 """
 
 from __future__ import annotations
 
-from array import array
+import re
+
+import numpy as np
+
+#: Slots of a worker's table (a power of two), words it holds before it starts anew, longest word held.
+SLOTS, HELD, LONGEST = 1 << 21, 1_200_000, 64
+BLOCK, TOGETHER = 1 << 18, 500
+LETTERS = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"
+WORD = re.compile(rb"(" + LETTERS + rb")([!-&(-/:-@\[-`{-~]*)")
+BASE = 0x9E3779B97F4A7C15
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def byte_letters() -> dict[int, int]:
+    """The letters by which byte-level vocabularies write bytes: printable ones stand for themselves,
+    the others follow from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(others)}
+
 
-#: Words held by a worker, and the longest word held.
-HELD, LONGEST = 500_000, 64
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    have = 1
+    while have < n:
+        step = np.uint64(pow(base, have, 1 << 64))
+        more = min(have, n - have)
+        out[have : have + more] = out[:more] * step
+        have += more
+    return out
 
 
 class WordIds:
@@ -20,36 +52,200 @@ class WordIds:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
+
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        self.merges = Tokenizer(self.whole.model)
+        self.merges.pre_tokenizer = CharDelimiterSplit(" ")
+        self.letters = {b: c for b, c in byte_letters().items() if b != 32}
+        vocabulary = self.whole.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.up, self.down = _powers(BASE, BLOCK + 1), _powers(pow(BASE, -1, 1 << 64), BLOCK + 1)
+        self.marks: dict[bytes, np.ndarray] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys, self.number = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
+        self.words, self.used = 0, 0
+        self.start, self.size = np.zeros(HELD + (BLOCK >> 1), np.int64), np.zeros(HELD + (BLOCK >> 1), np.int64)
+        self.pool = np.zeros(1 << 20, np.uint32)
+
+    # -- calls of the library
+
+    def _call(self, words: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.whole.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+
+    def _call_plain(self, words: list[bytes]) -> list[np.ndarray]:
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        out: list[np.ndarray] = []
+        for group, e in zip(groups, self.merges.encode_batch_fast([b" ".join(g).decode("latin-1").translate(self.letters) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(group):
+                raise ValueError("the vocabulary doesn't mark the ends of words")
+            out += [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return out
+
+    def ids_of(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of lowered words."""
+        found: list[np.ndarray | None] = [None] * len(words)
+        plain, tail, other = [], [], []
+        for i, w in enumerate(words):
+            if w.isalpha():
+                plain.append((i, w, b""))
+            elif w[-1] in b".," and w[:-1].isalpha():
+                plain.append((i, w[:-1], w[-1:]))
+            elif m := WORD.fullmatch(w):
+                plain.append((i, *m.groups()))
+            else:
+                other.append((i, w))
+        tail = list({m for _, _, m in plain if m and m not in self.marks})
+        if len(self.marks) > 10_000:
+            self.marks.clear()
+            tail = list({m for _, _, m in plain if m})
+        self.marks.update(zip(tail, self._call(tail) if tail else (), strict=True))
+        for (i, _, m), ids in zip(plain, self._call_plain([w for _, w, _ in plain]) if plain else (), strict=True):
+            found[i] = np.concatenate([ids, self.marks[m]]) if m else ids
+        for (i, _), ids in zip(other, self._call([w for _, w in other]) if other else (), strict=True):
+            found[i] = ids
+        return found
+
+    # -- the table
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each hash, -1 where it isn't held."""
+        slot = self._slot(h)
+        key = self.keys[slot]
+        out = np.where(key == h, self.number[slot], -1)
+        left = np.flatnonzero((key != h) & (key != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & (SLOTS - 1)
+            key = self.keys[slot[left]]
+            own = key == h[left]
+            out[left[own]] = self.number[slot[left[own]]]
+            left = left[~own & (key != 0)]
+        return out
+
+    def _insert(self, h: np.ndarray, number: np.ndarray) -> None:
+        slot, left = self._slot(h), np.arange(len(h))
+        while len(left):
+            free = self.keys[slot[left]] == 0
+            at = left[free]
+            self.keys[slot[at]] = h[at]  # of several for one slot the last one stays
+            own = self.keys[slot[left]] == h[left]
+            self.number[slot[left[own]]] = number[left[own]]
+            left = left[~own]
+            slot[left] = (slot[left] + 1) & (SLOTS - 1)
+
+    def _learn(self, h: np.ndarray, words: list[bytes], stem: list[int]) -> None:
+        """stem: the number of the word without its last mark, where that is held, else -1."""
+        ids: list[np.ndarray] = [None] * len(words)
+        rest = [i for i, s in enumerate(stem) if s < 0]
+        for i, x in zip(rest, self.ids_of([words[i] for i in rest]), strict=True):
+            ids[i] = x
+        for i, s in enumerate(stem):
+            if s >= 0:
+                mark, a = words[i][-1:], self.start[s]
+                if mark not in self.marks:
+                    self.marks[mark] = self._call([mark])[0]
+                ids[i] = np.concatenate([self.pool[a : a + self.size[s]], self.marks[mark]])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(sizes.sum())
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+        self.pool[self.used : self.used + total] = np.concatenate(ids)
+        n = self.words
+        self.start[n : n + len(ids)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(ids)] = sizes
+        self._insert(h, np.arange(n, n + len(ids), dtype=np.int32))
+        self.words += len(ids)
+        self.used += total
+
+    # -- texts
+
+    def _block(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of lowered text of at most BLOCK bytes: where its words begin, their ids, and each word's number of ids."""
+        raw = np.frombuffer(data, np.uint8)
+        white = np.concatenate([[True], _WHITE[raw], [True]])
+        edge = np.flatnonzero(white[1:] != white[:-1])
+        starts, ends = edge[::2], edge[1::2]
+        if not len(starts):
+            return starts, np.zeros(0, np.uint32), starts
+        total = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.up[: len(raw)])])
+        h = (total[ends] - total[starts]) * self.down[starts]
+        h = np.where(h == 0, np.uint64(1), h)
+        if self.words > HELD:
+            self._empty()
+        long = ends - starts > LONGEST
+        found = self._find(h)
+        new = np.flatnonzero((found < 0) & ~long)
+        if len(new):
+            fresh, first = np.unique(h[new], return_index=True)
+            at = new[first]
+            # A "." or "," behind an ASCII letter is a match of its own.
+            last, one = raw[ends[at] - 1], raw[np.maximum(ends[at] - 2, starts[at])]
+            dotted = ((last == 44) | (last == 46)) & (one >= 97) & (one <= 122)
+            stem = np.full(len(at), -1)
+            stem[dotted] = self._find((total[ends[at] - 1] - total[starts[at]])[dotted] * self.down[starts[at[dotted]]])
+            self._learn(fresh, [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], stem.tolist())
+            found[new] = self._find(h[new])
+        if long.any():  # not held: their ids stand behind the pool for this block alone
+            kept, used = self.words, self.used
+            at = np.flatnonzero(long)
+            ids = self.ids_of([data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            pool = np.concatenate([self.pool[:used], *ids])
+            size = np.concatenate([self.size[:kept], [len(x) for x in ids]])
+            start = np.concatenate([self.start[:kept], used + np.cumsum(size[kept:]) - size[kept:]])
+            found[at] = kept + np.arange(len(at))
+        else:
+            pool, size, start = self.pool, self.size, self.start
+        sizes = size[found]
+        before = np.cumsum(sizes) - sizes
+        return starts, pool[np.repeat(start[found] - before, sizes) + np.arange(int(sizes.sum()))], sizes
+
+    def _one(self, data: bytes) -> np.ndarray:
+        """Ids of one text of any length."""
+        out, at = [], 0
+        while at < len(data):
+            end = min(len(data), at + BLOCK)
+            if end < len(data):
+                cut = max(data.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+                if cut <= at:  # a word longer than a block
+                    cuts = [i for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (i := data.find(c, end)) >= 0]
+                    end = min(cuts, default=len(data))
+                    out += self.ids_of(data[at:end].split())
+                    at = end
+                    continue
+                end = cut
+            out.append(self._block(data[at:end])[1])
+            at = end
+        return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.held: dict[bytes, bytes] = {}
-
-    def _call(self, words: list[bytes]) -> None:
-        for word, e in zip(words, self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self.held[word] = array("I", e.ids).tobytes()
-
-    def _learn(self, new: set[bytes]) -> None:
-        held, parts, cores = self.held, {}, set()
-        for w in new:
-            core, tail = w.lower(), b""
-            if core[-1] in b".," and len(core) > 1 and 97 <= core[-2] <= 122:
-                core, tail = core[:-1], core[-1:]
-                cores.add(tail)
-            cores.add(core)
-            parts[w] = core, tail
-        self._call([c for c in cores if c not in held])
-        for w, (core, tail) in parts.items():
-            held[w] = held[core] + held[tail] if tail else held[core]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.held) > HELD:
-            self.held.clear()
-        split = [(t or "").encode().split() for t in texts]  # bytes.split() parts at [\x20\x09-\x0D]
-        self._learn(set().union(*split).difference(self.held))
-        out = [b"".join(map(self.held.__getitem__, words)) for words in split]
-        for w in [w for w in self.held if len(w) > LONGEST] if any(len(w) > LONGEST for words in split for w in words) else ():
-            del self.held[w]
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """texts: UTF-8."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and size + len(texts[end] or b"") + 1 <= BLOCK:
+                size += len(texts[end] or b"") + 1
+                end += 1
+            if end == at:
+                out.append(self._one(texts[at].lower()).astype("<u4").tobytes())
+                at += 1
+                continue
+            own = [t or b"" for t in texts[at:end]]
+            starts, ids, sizes = self._block(b"\n".join(own).lower())  # lower() takes A-Z
+            words = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in own]))
+            cut = (4 * np.concatenate([[0], np.cumsum(sizes)])[words]).tolist()
+            raw = ids.astype("<u4").tobytes()
+            out += [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+            at = end
         return out
 
 
