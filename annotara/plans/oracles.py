@@ -85,7 +85,7 @@ BODY = r"CASE WHEN regexp_extract(html, '(?is)<body\b.*</body>') <> '' THEN rege
 SQL["strip_tags_text_len"] = f"SELECT page_id, length({SQUEEZED.format(f'regexp_replace({BODY}, ' + chr(39) + '<[^>]*>' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')}) AS n_chars FROM pages"
 SQL["tag_name_counts"] = r"""
 WITH t AS (SELECT unnest(regexp_extract_all(html, '<[^>]*>')) AS t FROM pages)
-SELECT lower(regexp_extract(t, '^</?\s*([^\s/>=]+)', 1)) AS tag, t LIKE '</%' AS closing, count(*) AS n FROM t WHERE length(t) >= 3 GROUP BY ALL"""
+SELECT lower(trim(regexp_replace(regexp_replace(t, '^</?|/?>$', '', 'g'), '\s+[^\s=]+\s*=[\s\S]*$', ''))) AS tag, t LIKE '</%' AS closing, count(*) AS n FROM t WHERE length(t) >= 3 GROUP BY ALL"""
 SQL["whitespace_normalise"] = rf"SELECT page_id, md5(array_to_string(list_transform({CLEAN}, lambda t: CASE WHEN regexp_matches(t, '^\s\s+$') THEN ' ' ELSE t END), '')) AS digest FROM pages"
 SQL["upper_context_window"] = rf"""
 WITH t AS (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS t FROM documents),
@@ -313,8 +313,13 @@ SELECT key, pattern, n, score, row_number() OVER (PARTITION BY key ORDER BY scor
 SQL["pattern_fragment_freq"] = frequencies("""WITH rows AS (SELECT p_brand AS key, p_partkey AS seq,
   ['SECTION', 'SECTION', 'SECTION', 'PARA', 'ARTICLE', 'PP', 'RULE', 'SCHEDULE ROMAN ,'][(p_partkey % 8 + 1)::INT] || ' ' ||
   CASE p_partkey % 3 WHEN 0 THEN 'NUM(PAREN)' WHEN 1 THEN 'NUM.NUM' ELSE 'NUM TO NUM' END AS pattern FROM part)""")
-SQL["pattern_citation_freq"] = frequencies("""WITH rows AS (SELECT p_brand AS key, p_partkey AS seq, 'YEAR ' || CASE p_partkey % 4 WHEN 0 THEN 'NUM REPORTER. NUM'
-  WHEN 1 THEN 'TRIBUNAL NUM' WHEN 2 THEN 'REPORTER. (ORDINAL) NUM' ELSE 'TRIBUNAL NUM' END || CASE WHEN p_partkey % 2 = 0 THEN ' (COURT)' ELSE '' END AS pattern FROM part)""")
+CITATION = "'[' || (p_size + 1950) || '] ' || ['2 S.C.R. ', 'SCC ', 'O.R. (2d) ', 'CanLII '][(p_partkey % 4 + 1)::INT] || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN ' (C.A.)' ELSE '' END"
+for _pattern, _new in (
+    (r"\(\s*\d+(?:st|nd|rd|d|th)\s*\)", "(ORDINAL)"), (r"\[\s*(19|20)\d{2}\s*\]", "YEAR"), (r"\b(CanLII|[A-Z]{2,4}(?:CA|CS|SC|QB|KB|HCJ|PC)?)\s+(\d+)\b", "TRIBUNAL NUM"), (r"\b(19|20)\d{2}\b", "YEAR"),
+    (r"\(\s*[A-Z][a-zA-Z.]*\.(?:\s*[A-Z][a-zA-Z.]*\.?)*\s*\)", "(COURT)"), (r"\b[A-Z](?:\.[A-Z]){1,5}\.?\b", "REPORTER"), (r"\b\d+\b", "NUM"),
+):
+    CITATION = f"regexp_replace({CITATION}, '{_pattern}', '{_new}', 'g')"
+SQL["pattern_citation_freq"] = frequencies(f"WITH rows AS (SELECT p_brand AS key, p_partkey AS seq, {CITATION} AS pattern FROM part)")
 SQL["pattern_title_freq"] = frequencies("""WITH rows AS (SELECT p_brand AS key, p_partkey AS seq,
   ['PARTY V PARTY', 'PARTY V PARTY', 'PARTY CASE_SEP PARTY', 'PARTY'][(p_partkey % 4 + 1)::INT] || CASE WHEN p_partkey % 4 = 3 THEN ' YEAR' ELSE '' END AS pattern FROM part)""")
 SQL["structural_pattern_freq"] = frequencies("""WITH l AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),

@@ -1,4 +1,159 @@
-"""Queries that rewrite trees or align sequences in Python workers."""
+"""Queries whose operators rewrite trees or align sequences in Python workers, over whole tables.
+
+Where a property of the result can be said in SQL the query returns it and has an oracle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import tokens as T
+from ..operators import assistants, extraction, output
+from ..streaming import rates
+from . import fixtures as X
+from .oracles import CLEAN, MENTIONS
 
 FOUND: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(f):
+    FOUND[f.__name__] = f
+    return f
+
+
+def _labelled(spark, d):
+    """Pages whose bold parts are labels, and the same with a word changed in every fifth page."""
+    html = F.regexp_replace(F.regexp_replace("html", "<b>", '<auto_label labelname="decision">'), "<(br|/p)>", "</auto_label><$1>")
+    broken = F.when(F.col("page_id") % 5 == 0, F.regexp_replace(html, r"\bthe\b", "teh")).otherwise(html)
+    return X.table(spark, d, "pages").select("page_id", "html", broken.alias("processed"))
+
+
+@query
+def leaf_blocks(spark, d):
+    rows = X.table(spark, d, "pages").select("page_id", F.posexplode(output.leaf_block_column(F.col("html"))).alias("nth", "block"))
+    return rows.select("page_id", F.col("nth").cast("long").alias("nth"), F.length("block").cast("long").alias("n_chars"), F.md5("block").alias("digest"))
+
+
+@query
+def verify_outputs(spark, d):
+    rows = _labelled(spark, d).select("page_id", output.check_column("html", "processed").alias("c"))
+    return rows.select("page_id", "c.passed", "c.error_type")
+
+
+@query
+def align_protected(spark, d):
+    """Documents' first 40 tokens with words lost and labels put in, brought back: labels stay, text is the original's."""
+    t = F.slice(T.tokenize(F.col("text")), 1, 40)
+    rows = X.table(spark, d, "documents").select("doc_id", T.decode(t).alias("original"), T.decode(F.concat(F.array(F.lit('<auto_label labelname="title">')), F.slice(t, 1, 3), F.array(F.lit("</auto_label>")), F.slice(t, 6, 35))).alias("processed"))
+    done = rows.select("doc_id", "original", output.align_column("original", "processed").alias("aligned"))
+    return done.select("doc_id", T.without_auto_labels(F.col("aligned")).alias("text"), (F.col("aligned") != F.col("original")).alias("labelled"))
+
+
+SQL["align_protected"] = rf"""SELECT doc_id, array_to_string({CLEAN.replace("regexp_replace(html, '<[^>]*>', '', 'g')", 'text')}[1:40], '') AS text, true AS labelled FROM documents"""
+
+
+@query
+def merge_tokens(spark, d):
+    rows = _labelled(spark, d)
+    cleaned = F.array_join(T.clean_tokens(F.col("processed"), "/?auto_label"), "")
+    merged = rows.select("page_id", "html", output.merge_column("html", cleaned).alias("merged"))
+    return merged.select("page_id", F.md5("merged").alias("digest"), F.regexp_count("merged", F.lit("<auto_label")).cast("long").alias("labels"))
+
+
+@query
+def bracket_fix(spark, d):
+    fixed = output.bracket_column(F.col("processed"))
+    return _labelled(spark, d).select("page_id", F.md5(fixed).alias("digest"), F.length(T.without_tags(fixed)).cast("long").alias("n_chars"))
+
+
+@query
+def fix_labels(spark, d):
+    rows = X.table(spark, d, "pages").select("page_id", F.concat(F.lit('<auto_label labelname="title"><i>'), T.squeezed(T.without_tags(F.col("html"))), F.lit("</i></auto_label>")).alias("h"))
+    return rows.select("page_id", F.substring(output.hoist_column(F.col("h")), 1, 33).alias("head"))
+
+
+SQL["fix_labels"] = """SELECT page_id, '<i><auto_label labelname="title">' AS head FROM pages"""
+
+
+@query
+def clean_formatting(spark, d):
+    rows = X.table(spark, d, "pages").select("page_id", output.tidy_column(F.concat(F.lit("<i></i><i>a</i> <i>"), F.col("page_id").cast("string"), F.lit("</i><b> </b>"))).alias("html"))
+    return rows
+
+
+SQL["clean_formatting"] = "SELECT page_id, '<i>a ' || page_id || '</i> ' AS html FROM pages"
+
+
+@query
+def labelled_spans(spark, d):
+    """Spans read from labels put around each line's first word."""
+    from ..operators import spans
+
+    html = F.regexp_replace("text", r"(?m)^([A-Za-z]+)", '<manual_label labelname="Title" id="1" docid="D" parent="">$1</manual_label>')
+    rows = extraction.span_rows(X.table(spark, d, "documents").select("doc_id", html.alias("html")))
+    located = spans.located_spans(rows, "plain")
+    return located.select(F.col("doc_id").cast("long").alias("doc_id"), "seq", "labelname", "text", (F.col("start_pos") >= 0).alias("found"))
+
+
+SQL["labelled_spans"] = r"""
+WITH w AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+l AS (SELECT doc_id, i, regexp_extract(line, '^[A-Za-z]+') AS word FROM w)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS seq, 'title' AS labelname, word AS text, true AS found FROM l WHERE word <> ''"""
+
+
+@query
+def mention_ids(spark, d):
+    html = F.regexp_replace("text", r"(?m)^([A-Za-z]+)", '<manual_label labelname="decision" docid="D" parent="">$1</manual_label>')
+    rows = X.table(spark, d, "documents").select("doc_id", output.text_function(extraction.with_ids)(html).alias("html"))
+    m = extraction.offset_rows(rows)
+    return m.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("mentions"), F.max(F.col("id").cast("long")).alias("last_id"))
+
+
+SQL["mention_ids"] = r"""
+WITH w AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, count(*) AS mentions, count(*) - 1 AS last_id FROM w WHERE regexp_extract(line, '^[A-Za-z]+') <> '' GROUP BY doc_id"""
+
+
+@query
+def bounded_registry(spark, d):
+    """Mentions resolved in order with at most three open profiles."""
+    rows = X.mentions(spark, d).select("doc_id", "mention_id", "docid")
+    return assistants.resolved_in_order(rows, lambda m, registry: m["docid"], most=3)
+
+
+SQL["bounded_registry"] = f"""WITH {MENTIONS}, f AS (SELECT doc_id, docid, min(mention_id) AS first FROM mentions GROUP BY ALL),
+r AS (SELECT doc_id, docid, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS n FROM f)
+SELECT doc_id, mention_id, docid, (n - 1) // 3 AS pass FROM mentions JOIN r USING (doc_id, docid)"""
+
+
+@query
+def generated_echo(spark, d):
+    rows = X.table(spark, d, "benchmark").select("item_id", "text")
+    return assistants.generated(rows, lambda: assistants.Echo("<start>{}<end>".format), "Label the text.").select("item_id", "output")
+
+
+SQL["generated_echo"] = "SELECT item_id, '<start>' || text || '<end>' AS output FROM benchmark"
+
+
+def _streamed(spark, d, name, change, mode):
+    """A bounded stream over the events, run to its end, its last rows per key kept in memory tables."""
+    from pyspark.sql.types import StructType
+
+    schema: StructType = X.table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    q = change(stream).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query
+def stream_rolling_rate(spark, d):
+    out = _streamed(spark, d, "annotara_rates", rates.rolling_rate, "complete")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "mean_value")
+
+
+SQL["stream_rolling_rate"] = """
+WITH e AS (SELECT *, time_bucket(INTERVAL 30 MINUTES, ts) AS b FROM events),
+w AS (SELECT b AS start, event_type, value FROM e UNION ALL SELECT b - INTERVAL 30 MINUTES, event_type, value FROM e)
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM w GROUP BY ALL"""
