@@ -85,5 +85,14 @@ def located(docs: DataFrame, need: list[str], name: str) -> tuple[DataFrame, Col
     return docs, meta(docs)
 
 
+def hashed_sample(rows: DataFrame, key: str, about: int) -> DataFrame:
+    """All rows, or where there are more, those whose hashed key falls below about / rows: close to `about`
+    of them, the same ones in every run, without sending more than those anywhere."""
+    n = rows.count()
+    if n <= about:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(about / n * (1 << 30)))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
