@@ -11,7 +11,7 @@ def spark():
     from annotara.session import session
 
     s = session(
-        "tests", spark__master="local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
+        "tests", spark__master="local[3]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
         spark__driver__memory="3g",
     )
     s.sparkContext.setLogLevel("ERROR")
