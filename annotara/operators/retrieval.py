@@ -127,7 +127,7 @@ def resolved(best: DataFrame, threshold: float) -> DataFrame:
 def mapping(top: DataFrame, pool: DataFrame, qkey: str, key: str = "row_idx", title: str = "title") -> DataFrame:
     """Per query the best candidate and the ranked list as text."""
     named = top.join(pool.select(key, title), key)
-    ranked = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", key, "score"))), lambda x: F.concat(x[key].cast("string"), F.lit(":"), F.format_string("%.4f", x["score"]))), "|")
+    ranked = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", key, "score"))), lambda x: F.concat(x[key].cast("string"), F.lit(":"), F.format_string("%.6f", x["score"]))), "|")
     return named.groupBy(qkey).agg(F.min_by(key, "rank").alias("candidate_id"), F.min_by("score", "rank").alias("score"), F.min_by(title, "rank").alias("candidate_title"), ranked.alias("topk"))
 
 

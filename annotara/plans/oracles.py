@@ -47,7 +47,7 @@ SELECT item_id, row_idx, score, rank FROM (
 SQL["bm25_corpus_stats"] = f"WITH {POOL} SELECT term, df, round(idf, 6) AS idf FROM idf"
 SQL["resolution_mapping"] = f"""WITH {POOL}, {TOP}
 SELECT item_id, arg_min(row_idx, rank) AS candidate_id, arg_min(score, rank) AS score, arg_min(title, rank) AS candidate_title,
-       string_agg(row_idx || ':' || printf('%.4f', score), '|' ORDER BY rank) AS topk
+       string_agg(row_idx || ':' || printf('%.6f', score), '|' ORDER BY rank) AS topk
 FROM top JOIN pool USING (row_idx) GROUP BY item_id"""
 
 DOT = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
