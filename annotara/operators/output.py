@@ -340,10 +340,21 @@ def text_function(f: Callable[[str], str]) -> Callable[[Column], Column]:
     return run
 
 
-@F.arrow_udf(T.StructType([T.StructField("passed", T.BooleanType()), T.StructField("error_type", T.StringType()), T.StructField("details", T.StringType())]))
-def check_column(original: pa.Array, processed: pa.Array) -> pa.Array:
-    rows = [checked(tokenize(a or ""), tokenize(b or "")) for a, b in zip(original.to_pylist(), processed.to_pylist(), strict=True)]
-    return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["passed", "error_type", "details"])
+CHECKED = T.StructType([T.StructField("passed", T.BooleanType()), T.StructField("error_type", T.StringType()), T.StructField("details", T.StringType())])
+
+
+def check_function(allowed: tuple[str, ...] | None = None) -> Callable[[Column | str, Column | str], Column]:
+    """A column function (original, processed) -> struct of passed, error_type and details."""
+
+    @F.arrow_udf(CHECKED)
+    def run(original: pa.Array, processed: pa.Array) -> pa.Array:
+        rows = [checked(tokenize(a or ""), tokenize(b or ""), allowed) for a, b in zip(original.to_pylist(), processed.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], ["passed", "error_type", "details"])
+
+    return run
+
+
+check_column = check_function()
 
 
 @F.arrow_udf(T.StringType())

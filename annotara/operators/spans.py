@@ -72,6 +72,14 @@ def anchoring(human: DataFrame, assisted: DataFrame, machine: DataFrame) -> Data
     return total.where("extra > 0").select("labelname", "anchored", "extra", F.round(ratio(F.col("anchored"), F.col("extra")), 6).alias("rate"))
 
 
+def anchoring_by_id(human: DataFrame, assisted: DataFrame, machine: DataFrame) -> DataFrame:
+    """anchoring where spans carry ids: an assisted span is the machine's own if the machine has its id."""
+    extra = unmatched(assisted, human)
+    own = extra.join(machine.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_semi").groupBy("labelname").agg(F.count(F.lit(1)).alias("anchored"))
+    total = extra.groupBy("labelname").agg(F.count(F.lit(1)).alias("extra")).join(own, "labelname", "left").na.fill(0, ["anchored"])
+    return total.select("labelname", "anchored", "extra", F.round(ratio(F.col("anchored"), F.col("extra")), 6).alias("rate"))
+
+
 def category(label: Column, parent: Column | None = None) -> Column:
     """The label of a parent span, else the first of its comma-separated parents, else other."""
     first = F.trim(F.split(F.coalesce(parent, F.lit("")), ",")[0]) if parent is not None else F.lit("")

@@ -396,6 +396,14 @@ def test_bca_holds_the_rate():
     assert low < seen < high and 95 < seen < 105
 
 
+def test_bca_of_a_difference():
+    rng = np.random.default_rng(6)
+    hours = rng.uniform(0.5, 2, 30)
+    a, b = (hours * 90 + rng.normal(0, 5, 30), hours), (hours * 60 + rng.normal(0, 5, 30), hours)
+    seen, low, high = stats.bca_difference(a, b, draws=2000)
+    assert low < seen < high and 25 < seen < 35
+
+
 def test_bootstrap_holds_the_score(spark):
     docs = spark.createDataFrame([(i, 5 + i % 3, 9, 8) for i in range(12)], "doc_id long, tp long, n_gold long, n_system long")
     r = stats.bootstrap_f1(docs, 100).first()
@@ -455,6 +463,30 @@ def test_annotation_end_to_end(spark):
     assert htmltree.parse(lost).all_text() == "See Smith v Jones now.Other text."
 
 
+def test_annotation_in_passes(spark):
+    docs = spark.createDataFrame([("d", "<p>See <b>Smith v Jones, 1999</b> now.</p>"), ("e", "<p>Nothing.</p>")], "doc_id string, html string")
+
+    class Passes:
+        def generate(self, messages, **options):
+            system, text = messages[0]["content"], messages[-1]["content"]
+            return {
+                "0": text.replace("Smith v Jones, 1999", "<decision>Smith v Jones, 1999</decision>"), "1": text.replace("Smith v Jones", "<title>Smith v Jones</title>"),
+                "2": "made up", "3": text.replace("1999", "<citation>1999</citation>"),
+            }[system]
+
+    html = {r.doc_id: r.html for r in drivers.annotate_in_passes(docs, Passes, list("0123"), least=3).collect()}
+    names = [labels.attributes(t)["labelname"] for t in output.tokenize(html["d"]) if labels.label_kind(t) == 1]
+    assert names == ["decision", "title", "citation"] and htmltree.parse(html["d"]).all_text() == "See Smith v Jones, 1999 now." and html["e"] == "<p>Nothing.</p>"
+
+
+def test_anchoring_by_id(spark):
+    fields = "doc_id string, seq int, id string, labelname string, text string, context string"
+    human = spark.createDataFrame([("d", 0, "0", "title", "a", "c")], fields)
+    assisted = spark.createDataFrame([("d", 0, "0", "title", "a", "c"), ("d", 1, "7", "title", "b", "c"), ("d", 2, "9", "title", "x", "c")], fields)
+    machine = spark.createDataFrame([("d", 0, "7", "title", "changed since", "c")], fields)
+    assert [tuple(r) for r in spans.anchoring_by_id(human, assisted, machine).collect()] == [("title", 1, 2, 0.5)]
+
+
 def test_resolution_end_to_end(spark):
     docs = spark.createDataFrame([("d", HTML)], "doc_id string, html string")
     pool = spark.createDataFrame([(0, "DECISION", "A v B 1999", "A v B"), (1, "DECISION", "C v D 2000", "C v D"), (2, "LEGISLATION", "A v B act", "Act")], "row_idx long, doctype string, text string, title string")
