@@ -288,10 +288,12 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, most: int = MOST) -> D
     """docs (file, row, data) -> spans (file, row, lo, hi) of windows that also start elsewhere."""
     runs = stored(anchored(docs, width), "runs")
     flat = runs.select("file", "row", F.inline("runs"))
-    grams = flat.groupBy("g").agg(F.count(F.lit(1)).alias("n"), (F.min("r") != F.max("r")).alias("mixed")).where("n > 1").select("g", "mixed")
+    # Stored, so that the join below deals both sides itself and a hot gram's rows can be split.
+    grams = stored(flat.groupBy("g").agg(F.count(F.lit(1)).alias("n"), (F.min("r") != F.max("r")).alias("mixed")).where("n > 1").select("g", "mixed"), "grams")
     hits = stored(flat.join(grams.hint("shuffle_hash"), "g"), "hits")
     released(docs.sparkSession)
     dropped(runs)
+    dropped(grams)
     mixed = hits.where("mixed")
     different = stored(mixed.groupBy("g", "r").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "row", "a", "e", "o")).alias("one")), "different-runs")
     wanted = different.select("one.file", "one.row", F.struct("g", "one.a", "one.e", "one.o").alias("run")).groupBy("file", "row").agg(F.collect_list("run").alias("runs"))
