@@ -37,7 +37,11 @@ NUMBERS: dict[str, re.Pattern] = {
     "ip": re.compile(r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"),
     "date": re.compile(r"(?<![0-9A-Za-z./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9A-Za-z]|[-/.][0-9])"),
     "ssn": re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"),
-    "phone": re.compile(r"(?<![0-9A-Za-z+(.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z]|-[0-9])|(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9A-Za-z])"),
+    "phone": re.compile(
+        r"(?<![0-9A-Za-z+(.-])(?:(?:\+[0-9]{1,3}|1)[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z]|-[0-9])"  # national, with or without a country
+        r"|(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-][0-9]{1,4}){3,6}(?![0-9A-Za-z]|-[0-9])"  # international
+        r"|(?:(?<![0-9A-Za-z+])\+?[0-9]{1,3}[^0-9A-Za-z\n(]{1,8})?\([0-9]{3}\)[^0-9A-Za-z\n]{0,8}[0-9]{3}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"  # with marks between its parts
+    ),
     "card": re.compile(r"(?<![0-9A-Za-z-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z]|-[0-9])"),
 }
 
@@ -93,12 +97,12 @@ def _card(p: Permutation, s: str) -> str | None:
 
 
 def _phone(p: Permutation, s: str) -> str | None:
-    country = m[0] if (m := re.match(r"\+[0-9]{1,3}(?=[ .(-])", s)) else ""
+    country = m[0] if (m := re.match(r"\+[0-9]{1,3}(?![0-9])|\+1(?=[0-9]{10}$)|\+[0-9]{2}|1(?=[ .-])", s)) else ""
     rest = s[len(country) :]
     d = re.sub(r"[^0-9]", "", rest)
     if not 7 <= len(d) <= 15:
         return None
-    if len(d) == 10 and country in ("", "+1") and d[0] > "1" and d[3] > "1":  # area and exchange begin with 2 to 9
+    if len(d) == 10 and country in ("", "1", "+1") and d[0] > "1" and d[3] > "1":  # area and exchange begin with 2 to 9
         x = ((int(d[:3]) - 200) * 800 + int(d[3:6]) - 200) * 10_000 + int(d[6:])
         x, line = divmod(p(x, 800 * 800 * 10_000, "phone"), 10_000)
         area, exchange = divmod(x, 800)
