@@ -66,7 +66,8 @@ def body_of(html: Column) -> Column:
 
 
 def without_bookmarks(html: Column) -> Column:
-    return F.regexp_replace(html, r"(?is)<htmllabelizer_bookmark.*?(</htmllabelizer_bookmark[^>]*>|$)", "")
+    """Without the annotation tool's bookmark elements; an unclosed one takes the rest."""
+    return F.regexp_replace(html, r"(?is)<([a-z]+_bookmark)\b.*?(</\1[^>]*>|$)", "")
 
 
 def without_auto_labels(html: Column) -> Column:

@@ -68,5 +68,5 @@ def deduplicated_paths(rows: DataFrame, url: str) -> DataFrame:
 
 def annotation_meta(html: Column) -> Column:
     """Milliseconds of work from the annotation tool's comment, null without one."""
-    found = F.regexp_extract(html, r"(?s)<!--\s*HTMLLabelizer\s*(\{.*?\})\s*-->", 1)
+    found = F.regexp_extract(html, r"(?s)<!--\s*\w+\s*(\{.*?\})\s*-->", 1)
     return F.get_json_object(F.nullif(found, F.lit("")), "$.meta.time").cast("double")

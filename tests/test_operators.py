@@ -31,7 +31,7 @@ def test_tokens_put_together_are_the_text(spark):
     ("column", "want"),
     [
         (lambda: T.tag_name(F.lit('<secondary sources docid="a b">')), "secondary sources"),
-        (lambda: T.without_bookmarks(F.lit("a<htmllabelizer_bookmark x>b</htmllabelizer_bookmark>c<htmllabelizer_bookmark>d")), "ac"),
+        (lambda: T.without_bookmarks(F.lit("a<tool_bookmark x>b</tool_bookmark>c<tool_bookmark>d")), "ac"),
         (lambda: T.without_auto_labels(F.lit('<AUTO_LABEL a="1">x</auto_label><manual_label>')), "x<manual_label>"),
         (lambda: T.body_of(F.lit("<html><body a>x</body></html>")), "<body a>x</body>"),
         (lambda: T.fixed_tag_spacing(F.lit("<b> x</b> y")), " <b>x</b> y"),
@@ -432,6 +432,11 @@ def test_pools_are_read(spark, tmp_path):
     assert [(r.original_url, r.id, r.metadata_text) for r in metadata.candidates(rows).collect()] == [("u", "1", "A | T | x")]
 
 
+def test_annotation_time(spark):
+    html = '<html><!-- Tool {"labeltree": {}, "meta": {"time": 1500}} --><body>x</body></html>'
+    assert one(spark, metadata.annotation_meta(F.lit(html))) == 1500.0 and one(spark, metadata.annotation_meta(F.lit("<p>"))) is None
+
+
 def test_slices(spark):
     rows = spark.range(10)
     assert [r.id for r in readers.sliced(rows, "id", 3, 50).collect()] == list(range(2, 10))
