@@ -157,8 +157,17 @@ def coverage_curve(items: DataFrame, weights: DataFrame) -> DataFrame:
     """items (step, item) -> step, covered: the running sum of the weights of items first seen at each step."""
     first = items.groupBy("item").agg(F.min("step").alias("step")).join(weights, "item")
     gained = items.select("step").distinct().join(first.groupBy("step").agg(F.sum("weight").alias("gain")), "step", "left").na.fill(0.0, ["gain"])
-    # A row per step: few, as steps are chosen examples.
-    return gained.select("step", F.round(F.sum("gain").over(Window.orderBy("step")), 6).alias("covered"))
+    return running_sum(gained, "step", "gain").select("step", F.round("sum", 6).alias("covered"))
+
+
+def running_sum(rows: DataFrame, order: str, value: str, width: int = 4096) -> DataFrame:
+    """order, sum: the sum of value up to each row of a whole-numbered order.  Rows are summed within
+    stretches of the order, and the stretches' totals, a row each, give where they begin."""
+    cut = rows.withColumn("__part", F.floor(F.col(order) / width))
+    totals = cut.groupBy("__part").agg(F.sum(value).alias("__total"))
+    begins = totals.select("__part", (F.sum("__total").over(Window.orderBy("__part")) - F.col("__total")).alias("__before"))
+    inside = F.sum(value).over(Window.partitionBy("__part").orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("__inside", inside).join(begins, "__part").select(order, (F.col("__before") + F.col("__inside")).alias("sum"))
 
 
 def hashed_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:

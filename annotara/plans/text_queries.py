@@ -11,7 +11,7 @@ from ..functions import tokens as T
 from ..operators import assistants, extraction, output
 from ..streaming import rates
 from . import fixtures as X
-from .oracles import CLEAN, MENTIONS
+from .oracles import LINES, MENTIONS
 
 FOUND: dict = {}
 SQL: dict[str, str] = {}
@@ -43,14 +43,14 @@ def verify_outputs(spark, d):
 
 @query
 def align_protected(spark, d):
-    """Documents' first 40 tokens with words lost and labels put in, brought back: labels stay, text is the original's."""
-    t = F.slice(T.tokenize(F.col("text")), 1, 40)
-    rows = X.table(spark, d, "documents").select("doc_id", T.decode(t).alias("original"), T.decode(F.concat(F.array(F.lit('<auto_label labelname="title">')), F.slice(t, 1, 3), F.array(F.lit("</auto_label>")), F.slice(t, 6, 35))).alias("processed"))
-    done = rows.select("doc_id", "original", output.align_column("original", "processed").alias("aligned"))
-    return done.select("doc_id", T.without_auto_labels(F.col("aligned")).alias("text"), (F.col("aligned") != F.col("original")).alias("labelled"))
+    """Every line with words lost and labels put in, brought back: labels stay, text is the line's."""
+    t = T.tokenize(F.col("norm"))
+    rows = X.lines(spark, d).select("doc_id", "seq", T.decode(t).alias("original"), T.decode(F.concat(F.array(F.lit('<auto_label labelname="title">')), F.slice(t, 1, 3), F.array(F.lit("</auto_label>")), F.slice(t, 6, F.greatest(F.size(t), F.lit(1))))).alias("processed"))
+    done = rows.select("doc_id", "seq", "original", output.align_column("original", "processed").alias("aligned"))
+    return done.select("doc_id", "seq", F.md5(T.without_auto_labels(F.col("aligned"))).alias("text"), (F.col("aligned") != F.col("original")).alias("labelled"))
 
 
-SQL["align_protected"] = rf"""SELECT doc_id, array_to_string({CLEAN.replace("regexp_replace(html, '<[^>]*>', '', 'g')", 'text')}[1:40], '') AS text, true AS labelled FROM documents"""
+SQL["align_protected"] = f"WITH {LINES} SELECT doc_id, seq, md5(norm) AS text, true AS labelled FROM lines"
 
 
 @query
