@@ -18,8 +18,8 @@ import re
 
 import numpy as np
 
-#: Slots of a worker's table (a power of two), words it holds before it starts anew, longest word held.
-SLOTS, HELD, LONGEST = 1 << 21, 1_200_000, 64
+#: Slots of a worker's table (a power of two), words it holds before it drops rare ones, longest word held.
+SLOTS, HELD, LONGEST = 1 << 20, 550_000, 64
 BLOCK, TOGETHER = 1 << 18, 500
 LETTERS = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"
 WORD = re.compile(rb"(" + LETTERS + rb")([!-&(-/:-@\[-`{-~]*)")
@@ -57,6 +57,8 @@ class WordIds:
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.merges = Tokenizer(self.whole.model)
+        if hasattr(self.merges.model, "_resize_cache"):  # the library's own cache would fill with words that come once
+            self.merges.model._resize_cache(0)
         self.merges.pre_tokenizer = CharDelimiterSplit(" ")
         self.letters = {b: c for b, c in byte_letters().items() if b != 32}
         vocabulary = self.whole.get_vocab()
@@ -67,11 +69,27 @@ class WordIds:
         self._empty()
 
     def _empty(self) -> None:
+        room = HELD + (BLOCK >> 1)
         self.keys, self.number = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
         self.words, self.used = 0, 0
-        self.start, self.size = np.zeros(HELD + (BLOCK >> 1), np.int64), np.zeros(HELD + (BLOCK >> 1), np.int64)
+        self.hash, self.hits = np.zeros(room, np.uint64), np.zeros(room, np.int32)
+        self.start, self.size = np.zeros(room, np.int32), np.zeros(room, np.int32)
         self.pool = np.zeros(1 << 20, np.uint32)
 
+    def _bounded(self) -> None:
+        """The words met most often stay, half of those that may be held."""
+        stay = np.sort(np.argpartition(-self.hits[: self.words], HELD // 2)[: HELD // 2])
+        h, hits, size, start, pool = self.hash[stay], self.hits[stay] >> 1, self.size[stay], self.start[stay].astype(np.int64), self.pool
+        self._empty()
+        n, total = len(stay), int(size.sum())
+        self.hash[:n], self.hits[:n], self.size[:n] = h, hits, size
+        before = np.cumsum(size, dtype=np.int64) - size
+        self.start[:n] = before
+        ids = pool[np.repeat(start - before, size) + np.arange(total)]
+        self.pool = np.concatenate([ids, np.zeros(max(1 << 20, total) - total + (1 << 18), np.uint32)])
+        self.words, self.used = n, total
+        self._insert(h, np.arange(n, dtype=np.int32))
+
     # -- calls of the library
 
     def _call(self, words: list[bytes]) -> list[np.ndarray]:
@@ -162,6 +180,7 @@ class WordIds:
         n = self.words
         self.start[n : n + len(ids)] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + len(ids)] = sizes
+        self.hash[n : n + len(ids)] = h
         self._insert(h, np.arange(n, n + len(ids), dtype=np.int32))
         self.words += len(ids)
         self.used += total
@@ -180,7 +199,7 @@ class WordIds:
         h = (total[ends] - total[starts]) * self.down[starts]
         h = np.where(h == 0, np.uint64(1), h)
         if self.words > HELD:
-            self._empty()
+            self._bounded()
         long = ends - starts > LONGEST
         found = self._find(h)
         new = np.flatnonzero((found < 0) & ~long)
@@ -194,6 +213,7 @@ class WordIds:
             stem[dotted] = self._find((total[ends[at] - 1] - total[starts[at]])[dotted] * self.down[starts[at[dotted]]])
             self._learn(fresh, [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], stem.tolist())
             found[new] = self._find(h[new])
+        np.add.at(self.hits, found[~long], 1)
         if long.any():  # not held: their ids stand behind the pool for this block alone
             kept, used = self.words, self.used
             at = np.flatnonzero(long)
@@ -204,7 +224,7 @@ class WordIds:
             found[at] = kept + np.arange(len(at))
         else:
             pool, size, start = self.pool, self.size, self.start
-        sizes = size[found]
+        sizes = size[found].astype(np.int64)
         before = np.cumsum(sizes) - sizes
         return starts, pool[np.repeat(start[found] - before, sizes) + np.arange(int(sizes.sum()))], sizes
 
