@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import public_tokenizers as P
 
-from annotara.llm import byte_bpe, exact_dedup, packing, pii, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_files, toxicity, word_ids
+from annotara.llm import byte_bpe, common, exact_dedup, packing, pii, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_files, toxicity, word_ids
 from annotara.llm.common import stored
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, at string, score double, fp long, digest string"
@@ -63,6 +63,21 @@ def test_word_ids_equal_the_library():
     assert got == [clip(x) for x in t]
 
 
+def test_word_table_drops_rare_words(monkeypatch):
+    monkeypatch.setattr(word_ids, "HELD", 60)
+    w, rng = word_ids.WordIds(P.path("word_bpe_49k.json")), random.Random(6)
+    for _ in range(12):
+        t = " ".join(rng.choice(["the", "and", "".join(rng.choice("abcdé,") for _ in range(5))]) for _ in range(200))
+        assert np.frombuffer(w.encode([t.encode()])[0], "<u4").tolist() == clip(t)
+    assert w.words < 400
+
+
+def test_hashed_sample_is_near_its_size(spark):
+    rows = spark.range(20_000)
+    n = common.hashed_sample(rows, "id", 1000).count()
+    assert 850 < n < 1150 and common.hashed_sample(rows, "id", 20_000).count() == 20_000
+
+
 def test_token_files(spark, docs, rows, empty):
     path = P.path(token_files.VOCABULARY)
     got = [tuple(r) for r in token_files.query(docs, path).orderBy("start").collect()]
