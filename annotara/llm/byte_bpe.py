@@ -29,7 +29,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Unicode's White_Space, as the pattern's \s has it; Python's own \s has four more control characters.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-HELD, LONGEST, SIDE_BY_SIDE = 400_000, 64, 64
+HELD, LONGEST, SIDE_BY_SIDE = 1_200_000, 64, 64
 NONE = np.iinfo(np.int64).max
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -46,6 +46,8 @@ class Ranks:
         self.pair = pairs
         self.keys = np.array(sorted(pairs), np.int64)
         self.made = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        left, right = np.divmod(np.arange(1 << 16), 256)
+        self.of_bytes = self.ranks(self.byte[left], self.byte[right])  # of each pair of bytes
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = (left << 32) | right
@@ -107,7 +109,7 @@ def encode_many(pieces: list[bytes], ranks: Ranks) -> list[list[int]]:
     before = np.broadcast_to(at - 1, (rows, width)).copy()
     tree = np.full((rows, 2 * width), NONE, np.int64)  # rank * width + position, so minima are leftmost
     first = np.full((rows, width), NONE, np.int64)
-    first[:, :-1] = ranks.ranks(ids[:, :-1], ids[:, 1:])
+    first[:, :-1] = ranks.of_bytes[(raw[:, :-1].astype(np.int64) << 8) | raw[:, 1:]]
     first[at >= sizes[:, None] - 1] = NONE
     tree[:, width:] = np.where(first == NONE, NONE, first * width + at)
     k = width
@@ -157,7 +159,6 @@ class Coder:
 
         self.ranks = Ranks(path)
         self.match = regex.compile(pattern.replace(r"[^\s", "[^" + SPACE).replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
-        self.plain = re.compile(r" ?[A-Za-z]+[.,]?")
         self.digits = {r: b"%d," % r for r in self.ranks.bytes_of}
         self.token = {str(r).encode(): t for r, t in self.ranks.bytes_of.items()}
         self.held: dict[str, bytes] = {}
@@ -166,8 +167,11 @@ class Coder:
     def _learn(self, units: list[str]) -> None:
         parts: dict[str, list[bytes]] = {}
         for u in units:
-            if self.plain.fullmatch(u):  # letters, perhaps with a mark of their own behind them
-                parts[u] = [u[:-1].encode(), u[-1].encode()] if u[-1] in ".," else [u.encode()]
+            stem = u[1:] if u[0] == " " else u
+            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):  # letters alone
+                parts[u] = [u.encode()]
+            elif stem[-1:] in (".", ",") and (body := stem[:-1]).isalpha() and (body.isascii() or max(body) < "\u0250"):  # a mark of its own
+                parts[u] = [u[:-1].encode(), u[-1].encode()]
             else:
                 parts[u] = [m.encode() for m in self.match.findall(u)]
         pieces, of, by_width = self.pieces, self.ranks.of, {}
