@@ -5,7 +5,8 @@ accounts by their mod-97 remainder, addresses by their octets (each keeps its nu
 phone numbers by their digits, dates by the calendar.  A valid value is an integer of the set of values
 of its format; a Feistel network under a secret key permutes that set (values that the network's square
 domain has in excess are walked past) and the result is written in the same layout, check digits anew.
-So equal values get equal pseudonyms in every document, different ones different ones, and lengths stay.
+So equal values get equal pseudonyms in every document, different ones different ones, and lengths stay,
+but for dates written with single digits, which get two.
 E-mail addresses keep their domain; letters and digits of the local part are permuted by class.
 
 Cases.  Null text stays null, empty text empty; text without candidates is returned as it is; overlapping
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import datetime
 import re
+from bisect import bisect
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -35,7 +37,7 @@ EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})@((?:[A-Za-z0-
 NUMBERS: dict[str, re.Pattern] = {
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"),
     "ip": re.compile(r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"),
-    "date": re.compile(r"(?<![0-9A-Za-z./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9A-Za-z]|[-/.][0-9])"),
+    "date": re.compile(r"(?<![0-9A-Za-z./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9A-SU-Za-su-z]|[Tt](?![0-9])|[-/.][0-9])"),  # a time may follow
     "ssn": re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"),
     "phone": re.compile(
         r"(?<![0-9A-Za-z+(.-])(?:(?:\+[0-9]{1,3}|1)[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z]|-[0-9])"  # national, with or without a country
@@ -44,6 +46,16 @@ NUMBERS: dict[str, re.Pattern] = {
     ),
     "card": re.compile(r"(?<![0-9A-Za-z-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z]|-[0-9])"),
 }
+#: Characters of an account number by country, as in the IBAN registry.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
 
 
 class Permutation:
@@ -195,6 +207,34 @@ WRITE: dict[str, Callable[[Permutation, str], str | None]] = {"email": _email, "
 _DIGIT = re.compile(r"[0-9]")
 
 
+def _ibans(text: str, write: Callable[[str, str], str | None]) -> list[tuple[int, int, str]]:
+    """Start, end and pseudonym of each account.  A match may run on into the words behind an account or begin
+    before one, so accounts of their country's length come first; between them, matches of countries that have
+    no length here are tried from long to short, others as a whole."""
+    found: list[tuple[int, int, str]] = []
+    others, at = [], 0
+    while m := NUMBERS["iban"].search(text, at):
+        start, s = m.start(), m[0]
+        ends = [len(s), *(i for i in range(len(s) - 1, 0, -1) if s[i] == " ")]
+        own = IBAN_LENGTHS.get(s[:2])
+        end = next((e for e in ends if e - s.count(" ", 0, e) == own), 0)
+        if end and (new := write("iban", s[:end])):
+            found.append((start, start + end, new))
+            at = start + end
+        else:
+            others.append((start, s, ends[:1] if own else ends))
+            at = start + 1
+    starts, at = [*(start for start, _, _ in found), len(text)], 0
+    for start, s, ends in others:
+        room = starts[bisect(starts, start, 0, len(starts) - 1)] - start
+        for e in ends:
+            if start >= at and e <= room and (new := write("iban", s[:e])):
+                found.append((start, start + e, new))
+                at = start + e
+                break
+    return found
+
+
 def pseudonymised(text: str, write: Callable[[str, str], str | None]) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and the number of each kind."""
     found: list[tuple[int, int, str, str]] = []
@@ -202,7 +242,10 @@ def pseudonymised(text: str, write: Callable[[str, str], str | None]) -> tuple[s
         found += [(m.start(), -m.end(), "email", new) for m in EMAIL.finditer(text) if (new := write("email", m[0]))]
     if _DIGIT.search(text):
         for kind, pattern in NUMBERS.items():
-            found += [(m.start(), -m.end(), kind, new) for m in pattern.finditer(text) if (new := write(kind, m[0]))]
+            if kind == "iban":
+                found += [(start, -end, kind, new) for start, end, new in _ibans(text, write)]
+            else:
+                found += [(m.start(), -m.end(), kind, new) for m in pattern.finditer(text) if (new := write(kind, m[0]))]
     out, at, n = [], 0, dict.fromkeys(KINDS, 0)
     for start, end, kind, new in sorted(found, key=lambda x: (x[0], x[1], KINDS.index(x[2]))):
         if start >= at:

@@ -361,6 +361,24 @@ def test_pseudonyms(docs, empty, spark):
     assert pii.query(empty).count() == 0 and pii.pseudonymise(empty).count() == 0
 
 
+def test_pseudonyms_before_more_words():
+    write = pii.writer(b"k")
+    ibans = ["BE68539007547034", "ES9121000418450200051332", "AT611904300234573201", "DE89370400440532013000", "BE68 5390 0754 7034", "NO9386011117947", "PL61 1090 1014 0000 0712 1981 2874"]
+    alone = {s: pii.pseudonymised(s, write)[0] for s in ibans}
+    for s, new in alone.items():
+        t = new.replace(" ", "")
+        assert new != s and len(new) == len(s) and pii._rest_97(t[:2], t[2:4], t[4:]) == 1
+        for before in ("", "Pay ", "REF AB12 ", "AB12 3456 7890 "):
+            for behind in ("", " EUR 20", " BIC", " 2021", " ABCD EFGH IJKL 12", " Euro", " " + ibans[0], ",", "\nEUR"):
+                text, n = pii.pseudonymised(before + s + behind, write)
+                assert text == before + new + behind.replace(ibans[0], alone[ibans[0]]) and n["iban"] == 1 + (ibans[0] in behind)
+    assert pii.pseudonymised("BE68539007547035 EUR 20", write) == ("BE68539007547035 EUR 20", dict.fromkeys(pii.KINDS, 0))
+    day = pii.pseudonymised("2021-03-04", write)[0]
+    for t, want in (("2021-03-04T12:00:00Z", f"{day}T12:00:00Z"), ("2021-03-04t12:00", f"{day}t12:00"), ("on 2021-3-4.", f"on {day}."), ("2021-03-04Tx", "2021-03-04Tx"), ("1975-13-3", "1975-13-3")):
+        assert pii.pseudonymised(t, write)[0] == want
+    assert pii.pseudonymised("born 1975-1-3", write)[1]["date"] == 1
+
+
 @pytest.mark.parametrize("size", [2, 10, 99, 1000, 1001, 12345])
 def test_permutations_are_permutations(size):
     p = pii.Permutation(b"k")
