@@ -422,3 +422,32 @@ def test_segments_overlap_by_two_words():
     assert all(len(p) <= 300 for p in parts)
     for a, b in zip(parts, parts[1:], strict=False):
         assert b.split()[:2] == a.split()[-2:]
+
+
+def any_model():
+    rng = np.random.default_rng(9)
+    n = toxicity.FILTERS * len(toxicity.WIDTHS)
+    shape = (toxicity.TABLES, toxicity.ROWS, toxicity.DIM)
+    filters = [rng.normal(0, 1, (w, toxicity.TABLES * toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
+    return toxicity.Model(rng.normal(0, 1, shape).astype(np.float32), filters, rng.normal(0, 1, n).astype(np.float32), rng.normal(0, 1, n).astype(np.float32), 0.1, np.array([0.0, 3.0, -3.0, 1.0]), 0.05)
+
+
+@pytest.mark.parametrize("mark", [" ", ",", "\t", " 12 34 "])
+def test_segments_give_the_maxima_of_the_whole_text(mark):
+    rng, model = random.Random(3), any_model()
+    for n in (0, 1, 2, 3, 90):
+        text = mark.join(rng.choice(["the", "le", "der", "los", "ab", "c", "defgh" * rng.randint(1, 9)]) for _ in range(n)).encode()
+        rows, sizes = toxicity.word_rows([text])
+        for most in (8, 20, 77):
+            pooled, votes = model.by_segments(text, most)
+            assert np.allclose(pooled, model.pooled(rows, sizes), atol=1e-4) and (votes == toxicity.language_votes(rows, sizes)).all()
+
+
+def test_long_texts_are_scored_like_others(monkeypatch):
+    model, rng = any_model(), random.Random(4)
+    texts = [" ".join(rng.choice(first if i < 60 else ["le", "la", "dans", "riviere", "pierre"]) for i in range(400)).encode() for first in (["the", "of", "house", "stone"], ["der", "haus"])]
+    whole = model.scores(texts)
+    monkeypatch.setattr(toxicity, "BLOCK", 500)
+    monkeypatch.setattr(toxicity, "SEGMENT", 250)
+    monkeypatch.setattr(toxicity.Model.by_segments, "__defaults__", (250,)) if hasattr(toxicity.Model, "by_segments") else monkeypatch.setattr(toxicity.segments, "__defaults__", (250,))
+    assert np.allclose(model.scores(texts), whole, atol=1e-5)
