@@ -1,11 +1,12 @@
 """Secret scans (operator 6).
 
 Method.  Candidate strings are runs of the characters of keys and tokens.  Within a candidate, each
-character class (hexadecimal; letters, digits and the marks of base64) has runs of its own, over which a
-window slides; the counts of its characters change by one entering and one leaving character, and with
+character class (hexadecimal; letters of one case and digits; letters and digits; these and the marks of
+base64) has runs of its own, over which a window slides; the counts of its characters change by one entering and one leaving character, and with
 them the sum of c log2 c, so the window's Shannon entropy costs constant time per step.  Windows at or
 above the class's threshold that mix digits and letters are joined to spans.  An allow list suppresses
-what only looks random: identifiers in UUID form, URLs and paths, e-mail addresses, words and counters.
+what only looks random: identifiers in UUID form, URLs and paths of words, e-mail addresses, words and
+counters.  Strings of letters alone aren't looked at.
 Three fixed patterns give base spans, which the method never removes.
 
 Cases.  Null text counts as empty; candidates of any length cost linear time; repeated rows are scanned
@@ -34,15 +35,21 @@ LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
 #: (characters of the class, window, entropy in bits from which a window counts)
-CLASSES = ((re.compile(r"[0-9A-Fa-f]{24,}"), 24, 3.0), (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.9))
+CLASSES = (
+    (re.compile(r"[0-9A-Fa-f]{24,}"), 24, 3.0),
+    (re.compile(r"[0-9A-Fa-f]{20,}"), 20, 3.0),
+    (re.compile(r"[0-9a-z]{20,}|[0-9A-Z]{20,}"), 20, 3.5),
+    (re.compile(r"[0-9A-Za-z]{20,}"), 20, 3.7),
+    (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.9),
+)
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),
-    re.compile(r"(?:https?|ftp)?/{1,2}.*"),
+    re.compile(r"/{1,2}(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,8})(?:[-_/=+]+(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,8}))*[-_/=+]*"),
     re.compile(r"[0-9]+"),
     re.compile(r"[A-Za-z]+(?:[-_/=+][A-Za-z]*)*"),
     re.compile(r"(?:[A-Za-z]+[-_/])+[0-9]{1,4}"),
     re.compile(r"(.)\1*"),
-    re.compile(r"(?i)(?:example|sample|dummy|placeholder|test|your)[-_a-z0-9]*"),
+    re.compile(r"(?i)(?:example|sample|dummy|placeholder|test|your)[a-z]*[0-9]{0,4}(?:[-_]+[a-z]*[0-9]{0,4})*"),
 )
 
 
@@ -80,7 +87,7 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
     found: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if s.isalpha() or any(a.fullmatch(s) for a in ALLOWED) or text[m.end() : m.end() + 1] == "@":
+        if s.isalpha() or any(a.fullmatch(s) for a in ALLOWED) or text[m.end() : m.end() + 1] == "@" or (s.startswith("//") and text[m.start() - 1 : m.start()] == ":"):
             continue
         for chars, window, bits in CLASSES:
             for r in chars.finditer(s):

@@ -326,6 +326,25 @@ def test_secret_scan(spark, empty):
     assert secret_scan.query(empty).count() == 0
 
 
+HEXADECIMAL, LOWER, BASE32 = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+BASE62 = LOWER + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+@pytest.mark.parametrize(("letters", "n", "least"), [(HEXADECIMAL, 20, 0.95), (LOWER, 20, 0.9), (LOWER, 32, 0.95), (BASE32, 20, 0.8), (BASE32, 32, 0.9), (BASE62, 20, 0.75), (BASE62 + "+/", 40, 0.95)])
+def test_random_strings_are_found(letters, n, least):
+    rng = random.Random(11)
+    keys = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(1000)]
+    assert sum(bool(secret_scan.entropy_spans(f"see {k} there")) for k in keys) >= least * len(keys)
+
+
+def test_allowed_beginnings_must_go_on_as_words():
+    key = "aK3x9Qz7Lm2Vb8Rt5Yw1Pn6"
+    for s in ("/" + key, "test" + key, "your" + key.lower(), "test_" + key):
+        assert secret_scan.entropy_spans(f"see {s} there")
+    for s in ("/usr/lib/python3/dist-packages/2021/index", "https://a1b2c3d4e5f6g7h8i9j0k1 x", "test_case_2021_of_the-parser-12", "your-api-key-goes-here-1234", "TESTING_ENVIRONMENT_2021"):
+        assert secret_scan.entropy_spans(f"see {s} there") == []
+
+
 def test_entropy_by_counts_equals_entropy_of_each_window():
     rng = random.Random(8)
     run = "".join(rng.choice("0123456789abcdefXYZ") for _ in range(90))
