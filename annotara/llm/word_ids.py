@@ -8,6 +8,9 @@ pattern matches whole, go to the vocabulary's merge model many at a time, their
 mark that ends a word's last token; a run of ASCII marks behind such a word (no apostrophe among them) is
 a match of its own.
 
+The literal tokens <|startoftext|> and <|endoftext|> within a text are ordinary text here
+(encode_special_tokens), unlike in the library's plain encode.
+
 Words are found again by a 64-bit hash in a table of numpy arrays: a block of text is hashed, looked up
 and its ids gathered without a step of Python per word.
 """
