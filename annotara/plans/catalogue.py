@@ -342,6 +342,12 @@ def coref_ceafe(spark, d):
     return coref.finalised(coref.ceafe_counts(_both(spark, d, of=6, drop=False)), "ceafe", "doc_id")
 
 
+@query
+def coref_ceafe_full(spark, d):
+    """All ten labels, with mentions that a side lacks."""
+    return coref.finalised(coref.ceafe_counts(coref.span_mode(_both(spark, d))), "ceafe", "doc_id")
+
+
 @query
 def coref_conll(spark, d):
     return coref.conll(coref.span_mode(_both(spark, d)))
@@ -425,10 +431,19 @@ def coverage_curve(spark, d):
 # -- statistics
 
 
+def _doc_counts(spark, d):
+    return _counts(spark, d).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("tp", "n_gold", "n_system")])
+
+
 @query
 def bootstrap_micro_f1(spark, d):
-    docs = _counts(spark, d).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("tp", "n_gold", "n_system")])
-    return stats.bootstrap_f1(docs, 200)
+    return stats.bootstrap_f1(_doc_counts(spark, d), 200)
+
+
+@query
+def bootstrap_micro_f1_full(spark, d):
+    """The reference's number of replicates."""
+    return stats.bootstrap_f1(_doc_counts(spark, d), 10_000)
 
 
 @query
