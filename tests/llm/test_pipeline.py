@@ -5,8 +5,9 @@ import re
 import pytest
 
 import corpus_pipeline
-from annotara.llm import toxicity
+from annotara.llm import pii, toxicity
 from annotara.llm.common import stored
+from test_llm_operators import brute_fingerprint, clip
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +43,25 @@ def test_sequences_hold_every_document_once(stages):
     assert set(pieces.doc_id) == {r[0] for r in stages[3].select("doc_id").collect()}
     assert (pieces.groupby("doc_id").length.sum() == pieces.groupby("doc_id").doc_tokens.first()).all()
     assert pieces.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_run_keeps_the_documents_of_a_brute_force(spark, stages):
+    own = ["doc_id", "text"]
+    rows = [[tuple(r) for r in s.select(own).collect()] for s in stages[:-1]]
+    groups = {}
+    for i, t in rows[0]:
+        groups.setdefault(re.sub("[\x20\x09-\x0d]", "", t or ""), []).append((-len(t or ""), i, t))
+    exact = sorted(min(g)[1:] for g in groups.values())
+    assert sorted(rows[1]) == exact
+    prints, group = [brute_fingerprint(t) for _, t in exact], list(range(len(exact)))
+    for i in range(len(exact)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3 and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    near = sorted(min(x for x, g in zip(exact, group, strict=True) if g == k) for k in set(group))
+    assert sorted(rows[2]) == near
+    write = pii.writer(pii.KEY)
+    private = [(i, pii.pseudonymised(t, write)[0]) for i, t in near]
+    assert sorted(rows[3]) == private
+    pieces = corpus_pipeline.run(spark, SF).toPandas()
+    assert pieces.groupby("doc_id").length.sum().to_dict() == {i: len(clip(t)) + 1 for i, t in private}
