@@ -3,24 +3,33 @@
 Method.  Candidates are found by pattern and validated: payment cards by length and check digit, bank
 accounts by their mod-97 remainder, addresses by their octets (each keeps its number of digits), social security numbers by their fields,
 phone numbers by their digits, dates by the calendar.  A valid value is an integer of the set of values
-of its format; a Feistel network under a secret key permutes that set (values that the network's square
-domain has in excess are walked past) and the result is written in the same layout, check digits anew.
-So equal values get equal pseudonyms in every document, different ones different ones, and lengths stay,
-but for dates written with single digits, which get two.
+of its format; a Feistel network F under a secret key permutes that set (values that the network's square
+domain has in excess are walked past), whatever its size.  The pseudonym of x is F^-1(F(x) + c) with a keyed
+c that isn't 0, so no value stays as it is, and it is written in the same layout, check digits anew.
+So equal values get equal pseudonyms in every document, different ones different ones, and lengths stay;
+the same key leads back (writer(key, back=True)).
+Dates are values of the layout they are written in: which parts have one digit, year first, day first
+(over 12), month first (second part over 12) or either (both up to 12), each a set of its own, years 1900 to
+2099 apart from others.  writer(key, layouts=False) reads parts of one digit as two instead, so that 2021-3-4
+and 2021-03-04 stay linked at the price of length.
 E-mail addresses keep their domain; letters and digits of the local part are permuted by class.
 
-Cases.  Null text stays null, empty text empty; text without candidates is returned as it is; overlapping
-candidates: the leftmost, then the longest; values of any number of documents need no table, so memory
-doesn't grow; repeated rows get equal results; an empty table gives no rows; further columns pass.
+The key is a parameter, else the session's annotara.pii.key; without either a key for tests is used, with a warning.
+
+Cases.  Null text stays null, empty text empty; text without candidates is returned as it is; digits are
+those of ASCII, others count as marks; overlapping candidates: the leftmost, then the longest; values of any
+number of documents need no table, so memory doesn't grow; texts of any length are read as a whole;
+repeated rows get equal results; an empty table gives no rows; further columns pass, whatever their names.
 """
 
 from __future__ import annotations
 
-import datetime
 import re
-from bisect import bisect
+import warnings
+from bisect import bisect, bisect_left
+from calendar import isleap, monthrange
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 from hashlib import blake2b
 from math import isqrt
 
@@ -30,8 +39,9 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "phone", "card", "ssn", "iban", "ip", "date")
 #: For tests and benchmarks; a deployment passes its own secret.
-KEY = b"annotara-demo-key"
-ROUNDS, TINY = 8, 1000
+KEY, KEY_SETTING = b"annotara-demo-key", "annotara.pii.key"
+#: Rounds of the network; a set of TINY values has no other one to change to.
+ROUNDS, TINY = 8, 1
 
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})@((?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})(?![A-Za-z0-9-])")
 NUMBERS: dict[str, re.Pattern] = {
@@ -59,21 +69,15 @@ IBAN_LENGTHS = {
 
 
 class Permutation:
-    """Keyed permutations of range(size), one for each tweak."""
+    """Keyed permutations of range(size), one for each tweak, without fixed points; back: their inverses."""
 
-    def __init__(self, key: bytes):
-        self.key = blake2b(key, digest_size=32).digest()
+    def __init__(self, key: bytes, back: bool = False):
+        self.key, self.back = blake2b(key, digest_size=32).digest(), back
 
     def _mix(self, tweak: str, i: int, x: int) -> int:
-        return int.from_bytes(blake2b(f"{tweak}|{i}|{x}".encode(), key=self.key, digest_size=16).digest(), "big")
+        return int.from_bytes(blake2b(f"{tweak}|{i}|{x}".encode(), key=self.key, digest_size=64).digest(), "big")
 
-    def __call__(self, x: int, size: int, tweak: str, back: bool = False) -> int:
-        tweak = f"{tweak}|{size}"
-        if size <= 1:
-            return x
-        if size <= TINY:  # a shift: small sets have no room for secrets, but nothing stays as it is
-            shift = 1 + self._mix(tweak, 0, 0) % (size - 1)
-            return (x - shift if back else x + shift) % size
+    def _network(self, x: int, size: int, tweak: str, back: bool) -> int:
         side = isqrt(size - 1) + 1
         while True:
             a, b = divmod(x, side)
@@ -87,11 +91,26 @@ class Permutation:
             if x < size:
                 return x
 
+    def __call__(self, x: int, size: int, tweak: str, back: bool | None = None) -> int:
+        if size <= TINY:
+            return x
+        tweak = f"{tweak}|{size}"
+        step = 1 + self._mix(tweak, ROUNDS, 0) % (size - 1)
+        y = self._network(x, size, tweak, False) + (-step if (self.back if back is None else back) else step)
+        return self._network(y % size, size, tweak, True)
+
+    def within(self, x: int, size: int, tweak: str, ok: Callable[[int], bool]) -> int:
+        """A permutation of the values of range(size) that are ok: the others are walked past."""
+        while True:
+            x = self(x, size, tweak)
+            if ok(x):
+                return x
+
 
 def laid_out(template: str, digits: str) -> str:
-    """template with its digits replaced in order."""
+    """template with its digits (of ASCII) replaced in order."""
     it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in template)
+    return "".join(next(it) if "0" <= c <= "9" else c for c in template)
 
 
 def luhn_digit(body: str) -> str:
@@ -104,8 +123,12 @@ def _card(p: Permutation, s: str) -> str | None:
     if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1] or len(set(d)) < 2:
         return None
     n = len(d) - 2
-    body = d[0] + str(p(int(d[1:-1]), 10**n, "card")).zfill(n)
-    return laid_out(s, body + luhn_digit(body))
+
+    def written(x: int) -> str:
+        body = d[0] + str(x).zfill(n)
+        return body + luhn_digit(body)
+
+    return laid_out(s, written(p.within(int(d[1:-1]), 10**n, "card", lambda x: len(set(written(x))) > 1)))
 
 
 def _phone(p: Permutation, s: str) -> str | None:
@@ -114,12 +137,17 @@ def _phone(p: Permutation, s: str) -> str | None:
     d = re.sub(r"[^0-9]", "", rest)
     if not 7 <= len(d) <= 15:
         return None
-    if len(d) == 10 and country in ("", "1", "+1") and d[0] > "1" and d[3] > "1":  # area and exchange begin with 2 to 9
+
+    def national(d: str) -> bool:  # area and exchange begin with 2 to 9
+        return len(d) == 10 and country in ("", "1", "+1") and d[0] > "1" and d[3] > "1"
+
+    if national(d):
         x = ((int(d[:3]) - 200) * 800 + int(d[3:6]) - 200) * 10_000 + int(d[6:])
         x, line = divmod(p(x, 800 * 800 * 10_000, "phone"), 10_000)
         area, exchange = divmod(x, 800)
         return country + laid_out(rest, f"{area + 200}{exchange + 200}{line:04d}")
-    return country + laid_out(rest, str(p(int(d), 10 ** len(d), f"phone{country}")).zfill(len(d)))
+    x = p.within(int(d), 10 ** len(d), f"phone{country}", lambda x: not national(str(x).zfill(len(d))))
+    return country + laid_out(rest, str(x).zfill(len(d)))
 
 
 def _ssn(p: Permutation, s: str) -> str | None:
@@ -139,7 +167,7 @@ def _rest_97(country: str, check: str, account: str) -> int:
 def _iban(p: Permutation, s: str) -> str | None:
     t = s.replace(" ", "")
     country, check, account = t[:2], t[2:4], t[4:]
-    if not 15 <= len(t) <= 34 or _rest_97(country, check, account) != 1:
+    if not 15 <= len(t) <= 34 or not "02" <= check <= "98" or _rest_97(country, check, account) != 1:
         return None
     account = _by_class(p, account, f"iban{country}")
     check = f"{98 - _rest_97(country, '00', account):02d}"
@@ -162,23 +190,37 @@ def _ip(p: Permutation, s: str) -> str | None:
     return ".".join(reversed(out))
 
 
-def _date(p: Permutation, s: str) -> str | None:
+@cache
+def date_set(order: str, widths: tuple[int, ...], modern: bool) -> tuple[list[int], list[int], dict[bool, list[tuple[int, int]]]]:
+    """The dates of one layout: years, dates before each year, and by leap year the values of the two other
+    parts as they are written.  order: ymd, dmy (days over 12), mdy (likewise) or both (two parts up to 12)."""
+    pairs: dict[bool, list[tuple[int, int]]] = {}
+    for leap, year in ((False, 2001), (True, 2000)):
+        days = [(m, d) for m in range(1, 13) for d in range(1, monthrange(year, m)[1] + 1)]
+        own = {"ymd": days, "mdy": [x for x in days if x[1] > 12], "dmy": [(d, m) for m, d in days if d > 12], "both": [x for x in days if x[1] <= 12]}[order]
+        pairs[leap] = [x for x in own if all(v < 10 or w == 2 for v, w in zip(x, widths, strict=True))]
+    years = list(range(1900, 2100)) if modern else [*range(1, 1900), *range(2100, 10_000)]
+    starts = [0]
+    for y in years:
+        starts.append(starts[-1] + len(pairs[isleap(y)]))
+    return years, starts, pairs
+
+
+def _date(p: Permutation, s: str, layouts: bool = True) -> str | None:
     mark = re.search(r"[-/.]", s)[0]
     parts = s.split(mark)
-    first = datetime.date(1900, 1, 1).toordinal()
-    size = datetime.date(2100, 1, 1).toordinal() - first
-    for order in ("ymd",) if len(parts[0]) == 4 else ("dmy", "mdy"):
-        v = dict(zip(order, map(int, parts), strict=True))
-        try:
-            day = datetime.date(v["y"], v["m"], v["d"]).toordinal() - first
-        except ValueError:
-            continue
-        if not 0 <= day < size:
-            continue
-        new = datetime.date.fromordinal(first + p(day, size, "date"))
-        out = {"y": f"{new.year}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-        return mark.join(out[k] for k in order)
-    return None
+    first = len(parts[0]) == 4
+    year, rest = (parts[0], parts[1:]) if first else (parts[2], parts[:2])
+    y, a, b = int(year), int(rest[0]), int(rest[1])
+    order = "ymd" if first else "dmy" if a > 12 else "mdy" if b > 12 else "both"
+    widths = tuple(map(len, rest)) if layouts else (2, 2)
+    years, starts, pairs = date_set(order, widths, modern := 1900 <= y < 2100)
+    if not y or (a, b) not in (own := pairs[isleap(y)]):
+        return None
+    x = p(starts[bisect_left(years, y)] + own.index((a, b)), starts[-1], f"date{order}{widths}{modern}")
+    i = bisect(starts, x) - 1
+    new = [str(v).zfill(w) for v, w in zip(pairs[isleap(years[i])][x - starts[i]], widths, strict=True)]
+    return mark.join([f"{years[i]:04d}", *new] if first else [*new, f"{years[i]:04d}"])
 
 
 def _by_class(p: Permutation, s: str, tweak: str) -> str:
@@ -255,23 +297,33 @@ def pseudonymised(text: str, write: Callable[[str, str], str | None]) -> tuple[s
     return "".join([*out, text[at:]]) if out else text, n
 
 
-_WRITERS: dict[bytes, Callable[[str, str], str | None]] = {}
+_WRITERS: dict[tuple[bytes, bool, bool], Callable[[str, str], str | None]] = {}
+
+
+def writer(key: bytes, back: bool = False, layouts: bool = False) -> Callable[[str, str], str | None]:
+    """One per worker, key and kind; remembers a bounded number of values.  back: from pseudonyms to values;
+    layouts: a set of dates per layout."""
+    if (key, back, layouts) not in _WRITERS:
+        p = Permutation(key, back)
+        _WRITERS[key, back, layouts] = lru_cache(maxsize=50_000)(lambda kind, s: _date(p, s, layouts) if kind == "date" else WRITE[kind](p, s))
+    return _WRITERS[key, back, layouts]
 
 
-def writer(key: bytes) -> Callable[[str, str], str | None]:
-    """One per worker and key; remembers a bounded number of values."""
-    if key not in _WRITERS:
-        p = Permutation(key)
-        _WRITERS[key] = lru_cache(maxsize=50_000)(lambda kind, s: WRITE[kind](p, s))
-    return _WRITERS[key]
+def key_of(docs: DataFrame, key: bytes | None) -> bytes:
+    if key is None and (own := docs.sparkSession.conf.get(KEY_SETTING, None)):
+        return own.encode()
+    if key is None:
+        warnings.warn(f"no key is given and {KEY_SETTING} isn't set: pseudonyms are under the key for tests", stacklevel=3)
+    return KEY if key is None else key
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """docs with pseudonyms in text, all columns kept."""
+def pseudonymise(docs: DataFrame, key: bytes | None = None, back: bool = False) -> DataFrame:
+    """docs with pseudonyms in text (back: with the values that they stand for), all columns kept."""
+    key = key_of(docs, key)
 
     @F.arrow_udf("string")
     def new_text(text: pa.Array) -> pa.Array:
-        write = writer(key)
+        write = writer(key, back, True)
         return pa.array([None if t is None else pseudonymised(t, write)[0] for t in text.to_pylist()], pa.string())
 
     def column() -> Column:
@@ -281,11 +333,12 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 
-def query(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def query(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """doc_id, text with pseudonyms, n_<kind> for each kind."""
+    key = key_of(docs, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        write = writer(key)
+        write = writer(key, False, True)
         for b in batches:
             done = [(t, dict.fromkeys(KINDS, 0)) if t is None else pseudonymised(t, write) for t in b.column(1).to_pylist()]
             counts = [pa.array([n[k] for _, n in done], pa.int64()) for k in KINDS]
