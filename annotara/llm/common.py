@@ -85,6 +85,14 @@ def located(docs: DataFrame, need: list[str], name: str) -> tuple[DataFrame, Col
     return docs, meta(docs)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def hashed_sample(rows: DataFrame, key: str, about: int) -> DataFrame:
     """All rows, or where there are more, those whose hashed key falls below about / rows: close to `about`
     of them, the same ones in every run, without sending more than those anywhere."""

@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, located, partitions, shared_dir, stored, text_of
+from .common import WHITE, free_name, located, partitions, shared_dir, stored, text_of
 
 LAST = (1 << 63) - 1
 ROCKS = {
@@ -103,8 +103,9 @@ def dedup_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, f
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     docs, at = located(docs, ["doc_id", "text"], "dedup-input")
-    kept = dedup_groups(docs).where("kept").select(F.col("at").alias("__at"))
-    return docs.select(*[docs[c] for c in docs.columns], at.alias("__at")).join(kept.hint("shuffle_hash"), "__at", "left_semi").drop("__at")
+    own = free_name(docs, "at")
+    kept = dedup_groups(docs).where("kept").select(F.col("at").alias(own))
+    return docs.select(*[docs[c] for c in docs.columns], at.alias(own)).join(kept.hint("shuffle_hash"), own, "left_semi").drop(own)
 
 
 def query(docs: DataFrame) -> DataFrame:
