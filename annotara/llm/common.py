@@ -48,6 +48,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to path to its end."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a stored() table that nothing reads any more."""
     spark = df.sparkSession
