@@ -15,7 +15,9 @@ a length that a third of all rows share is spread over as many tasks as there ar
 is broadcast has one entry per run of equal windows, bounded by the number of lengths, not of rows.
 
 Cases.  Null text counts as empty (its end id is packed); repeated ids and rows are packed one by one;
-an empty table gives no rows; further columns are ignored.
+an empty table gives no rows; further columns are ignored, whatever their names; texts of any length are
+encoded as a whole.  Special tokens that a text holds literally are ordinary text unless literal is false:
+then they are as in the library's plain encode.
 """
 
 from __future__ import annotations
@@ -189,11 +191,11 @@ class Plan:
 # -- Distribution -----------------------------------------------------------------------------------------
 
 
-def measured(docs: DataFrame, vocabulary_path: str, end_id: int, window: int, block: int) -> DataFrame:
+def measured(docs: DataFrame, vocabulary_path: str, end_id: int, window: int, block: int, literal: bool = True) -> DataFrame:
     """Per row: doc_id, tokens, rest, CRCs of its full windows, of its rest, and of the rest's blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, crc = word_ids(vocabulary_path), end_id.to_bytes(4, "little"), zlib.crc32
+        coder, end, crc = word_ids(vocabulary_path, literal), end_id.to_bytes(4, "little"), zlib.crc32
         for b in batches:
             tokens, full, rest, blocks = [], [], [], []
             for x in coder.encode(b.column(1).cast(pa.binary()).to_pylist()):
@@ -212,10 +214,10 @@ def measured(docs: DataFrame, vocabulary_path: str, end_id: int, window: int, bl
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def pack(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID, window: int = WINDOW, block: int = BLOCK, literal: bool = True) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    rows = stored(measured(docs, vocabulary_path, end_id, window, block), "packing")
+    rows = stored(measured(docs, vocabulary_path, end_id, window, block, literal), "packing")
     hist = np.zeros(window + 1, np.int64)
     for r in rows.where("rest > 0").groupBy("rest").count().collect():  # at most `window` rows
         hist[r["rest"]] = r["count"]

@@ -21,7 +21,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.query(table(spark, sf_dir, "documents"), _vocabulary(token_files.VOCABULARY))
+    return token_files.query(table(spark, sf_dir, "documents"), _vocabulary(token_files.VOCABULARY), literal=False)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary(packing.VOCABULARY))
+    return packing.pack(table(spark, sf_dir, "documents"), _vocabulary(packing.VOCABULARY), literal=False)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,14 @@ doc_id and n_tokens (delta encoded), ids (list of int, dictionary encoded while
 else delta encoded) and ids_crc32.  Row groups and pages have set sizes and the files carry page
 indexes, so a reader fetches one document's ids, or the metadata of all, without the rest.
 
-Scale.  One range exchange on doc_id carries the texts; tokenising, encoding and writing follow in the
-same tasks.  Reading back shuffles narrow rows only.
+Scale.  One range exchange on doc_id, and the texts' beginnings where many rows share an id, carries the
+texts; tokenising, encoding and writing follow in the same tasks.  Reading back shuffles narrow rows only.
 
 Cases.  Null text counts as empty (only the end id is written); null ids come first; repeated ids stay
-next to each other, ordered by text; an empty table gives no rows; further columns are ignored.
+next to each other, ordered by text; an empty table gives no rows; further columns are ignored, whatever
+their names; texts of any length are encoded as a whole.  Special tokens that a text holds literally are
+ordinary text, so that a document can't end itself, unless literal is false: then they are as in the
+library's plain encode.
 """
 
 from __future__ import annotations
@@ -37,11 +40,11 @@ def layout(row_group_mb: int = 32, page_rows: int = 500, page_kb: int = 256) ->
     }
 
 
-def encode_rows(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID) -> DataFrame:
+def encode_rows(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID, literal: bool = True) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_tokens, ids_crc32, ids with the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = word_ids(vocabulary_path), end_id.to_bytes(4, "little")
+        coder, end = word_ids(vocabulary_path, literal), end_id.to_bytes(4, "little")
         for b in batches:
             packed = [x + end for x in coder.encode(b.column(1).cast(pa.binary()).to_pylist())]
             sizes = np.fromiter((len(x) // 4 for x in packed), np.int64, len(packed))
@@ -52,10 +55,10 @@ def encode_rows(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END_ID, **sizes: int) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END_ID, literal: bool = True, **sizes: int) -> None:
     """Writes docs' ids to path in ascending doc_id order."""
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    encode_rows(ordered, vocabulary_path, end_id).write.options(**layout(**sizes)).parquet(path)
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    encode_rows(ordered, vocabulary_path, end_id, literal).write.options(**layout(**sizes)).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: int | None = None) -> DataFrame:
@@ -101,8 +104,8 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return _started(rows, _placed(read_tokens(spark, path)).select("file", "n_tokens")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-def query(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+def query(docs: DataFrame, vocabulary_path: str, literal: bool = True) -> DataFrame:
     spark = docs.sparkSession
     path = shared_dir(spark, "token-files")
-    write_tokens(docs, path, vocabulary_path)
+    write_tokens(docs, path, vocabulary_path, literal=literal)
     return digests(spark, path)

@@ -8,16 +8,18 @@ pattern matches whole, go to the vocabulary's merge model many at a time, their
 mark that ends a word's last token; a run of ASCII marks behind such a word (no apostrophe among them) is
 a match of its own.
 
-The literal tokens <|startoftext|> and <|endoftext|> within a text are ordinary text here
-(encode_special_tokens), unlike in the library's plain encode.
+The vocabulary's special tokens, <|startoftext|> and <|endoftext|>, where a text holds them literally, are
+ordinary text (literal, the library's encode_special_tokens) or, as in the library's plain encode, their own
+ids with the parts around them encoded on their own.
 
-Words are found again by a 64-bit hash in a table of numpy arrays: a block of text is hashed, looked up
-and its ids gathered without a step of Python per word.
+Words are found again by a 64-bit polynomial hash, whose base each worker draws at random, in a table of numpy
+arrays: a block of text is hashed, looked up and its ids gathered without a step of Python per word.
 """
 
 from __future__ import annotations
 
 import re
+import secrets
 
 import numpy as np
 
@@ -26,7 +28,6 @@ SLOTS, HELD, LONGEST = 1 << 20, 550_000, 64
 BLOCK, TOGETHER = 1 << 18, 500
 LETTERS = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"
 WORD = re.compile(rb"(" + LETTERS + rb")([!-&(-/:-@\[-`{-~]*)")
-BASE = 0x9E3779B97F4A7C15
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -53,7 +54,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 class WordIds:
     """encode(texts): per text the ids as little-endian unsigned 32-bit integers, packed."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import CharDelimiterSplit
 
@@ -67,7 +68,15 @@ class WordIds:
         vocabulary = self.whole.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.up, self.down = _powers(BASE, BLOCK + 1), _powers(pow(BASE, -1, 1 << 64), BLOCK + 1)
+        base = secrets.randbits(64) | 1
+        self.up, self.down = _powers(base, BLOCK + 1), _powers(pow(base, -1, 1 << 64), BLOCK + 1)
+        self.special: dict[bytes, int] = {}
+        if not literal:
+            for i, token in self.whole.get_added_tokens_decoder().items():
+                if token.normalized or token.single_word or token.lstrip or token.rstrip:
+                    raise ValueError(f"{token.content} isn't matched as it stands")
+                self.special[token.content.encode()] = i
+        self.cut = re.compile(b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.marks: dict[bytes, np.ndarray] = {}
         self._empty()
 
@@ -249,17 +258,28 @@ class WordIds:
             at = end
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
+    def _with_specials(self, data: bytes) -> np.ndarray:
+        """Ids of one text of any length and case, special tokens in it as such."""
+        out, at = [], 0
+        for m in self.cut.finditer(data) if self.cut else ():
+            out += [self._one(data[at : m.start()].lower()), np.array([self.special[m[0]]], np.uint32)]
+            at = m.end()
+        return np.concatenate([*out, self._one(data[at:].lower())])
+
+    def _marked(self, data: bytes | None) -> bool:
+        return self.cut is not None and bool(data) and self.cut.search(data) is not None
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """texts: UTF-8."""
         out: list[bytes] = []
         at = 0
         while at < len(texts):
             end, size = at, 0
-            while end < len(texts) and size + len(texts[end] or b"") + 1 <= BLOCK:
+            while end < len(texts) and size + len(texts[end] or b"") + 1 <= BLOCK and not self._marked(texts[end]):
                 size += len(texts[end] or b"") + 1
                 end += 1
             if end == at:
-                out.append(self._one(texts[at].lower()).astype("<u4").tobytes())
+                out.append(self._with_specials(texts[at]).astype("<u4").tobytes())
                 at += 1
                 continue
             own = [t or b"" for t in texts[at:end]]
@@ -272,11 +292,11 @@ class WordIds:
         return out
 
 
-_LOADED: dict[str, WordIds] = {}
+_LOADED: dict[tuple[str, bool], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    """One per Python worker and vocabulary."""
-    if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
-    return _LOADED[path]
+def word_ids(path: str, literal: bool = True) -> WordIds:
+    """One per Python worker, vocabulary and way with special tokens."""
+    if (path, literal) not in _LOADED:
+        _LOADED[path, literal] = WordIds(path, literal)
+    return _LOADED[path, literal]
