@@ -14,9 +14,11 @@ Method.
    in two stages: only suffixes smaller than their successors are sorted directly, scans over the
    buckets of first bytes induce the others from them.  Order beyond `width` bytes isn't needed, so
    comparisons stop there.  Where the common prefix of neighbours reaches `width`, both windows repeat.
-4. A gram with more than `most` different runs is first split: every window reaches at least half of the
-   missing bytes to the left or to the right of the gram, so its runs are dealt again by the longer
-   string on that side, and so on until groups are small or the string is the whole window.
+4. A gram with more than `most` different runs is split before its runs are dealt.  Equal windows have the
+   gram at the same offset, so a run is cut into stretches of 16 neighbouring offsets and keyed by the 185
+   bytes that all windows of such a stretch share.  Stretches seen twice are done like runs seen twice, and
+   one copy of each different one goes on.  Keys that are still too large are cut once more into single
+   windows, where the key is the window and counting is all that is left.
 
 Scale.  Texts are read once for the anchors and dealt twice by row, for the edges' bytes and for the
 result; everything else is narrow.  Counts are combined before they are shuffled, so an anchor that a
@@ -24,8 +26,8 @@ third of all rows share stays cheap; joins on it split when skewed.  Finished st
 shared folder and the ones before them released.
 
 Cases.  Null text counts as empty; texts shorter than `width` keep everything; repeated rows repeat each
-other; an empty table gives no rows; further columns are ignored; texts of any length are cut into blocks
-of windows, none is lost.
+other; an empty table gives no rows; further columns are ignored, whatever their names; texts of any length
+are cut into blocks of windows, none is lost.
 """
 
 from __future__ import annotations
@@ -40,7 +42,9 @@ from pyspark.sql import functions as F
 
 from .common import dropped, located, released, stored
 
-WIDTH, GRAM, MOST, BLOCK_BYTES, BLOCK_WINDOWS = 200, 32, 8192, 256 << 10, 1 << 19
+WIDTH, GRAM, MOST, BLOCK_BYTES, BLOCK_WINDOWS = 200, 32, 1024, 256 << 10, 1 << 19
+#: Offsets of a stretch on each level of splitting.
+STRETCH = (16, 1)
 RUN = "struct<g:long,r:long,a:long,e:long,o:int>"
 
 
@@ -189,9 +193,9 @@ def intervals(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
 
-#: A run's bytes: data[0] is byte a of the row's text; windows first to last of it belong to key, and
-#: the bytes from x to y are what the members of key share.
-MEMBER = "key long, file long, row long, a long, data binary, first long, last long, x long, y long"
+#: A run's bytes: data[0] is byte a of the row's text and data[x:] begins with the gram; windows first to
+#: last of it belong to key.
+MEMBER = "key long, file long, row long, a long, data binary, first long, last long, x long"
 SPAN = "file long, row long, lo long, hi long"
 
 
@@ -224,45 +228,50 @@ def sorted_groups(members: DataFrame, width: int) -> DataFrame:
     return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, SPAN)
 
 
-def split(members: DataFrame, width: int) -> DataFrame:
-    """Deals the members of large groups by longer shared strings."""
+def split(members: DataFrame, width: int, stretch: int) -> DataFrame:
+    """MEMBER rows and r, the hash of their own bytes: each member's stretches of neighbouring offsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         for b in batches:
             rows = []
-            for _, file, row, a, data, first, last, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                need = width - (y - x)
-                reach = (need + 1) // 2
-                for lo, hi, p, q in ((first, min(last, x - reach), x - reach, y), (max(first, x - reach + 1), last, x, y + need - reach + 1)):
-                    if lo <= hi:
-                        p, q = max(p, 0), min(q, lo + width)
-                        rows.append((xxh3_64_intdigest(data[p:q], p == x) - (1 << 63), file, row, a, data, lo, hi, p, q))
+            for _, file, row, a, data, first, last, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for c in range((x - last) // stretch, (x - first) // stretch + 1):  # windows at offsets c * stretch on
+                    lo, hi = max(first, x - (c + 1) * stretch + 1), min(last, x - c * stretch)
+                    shared = data[x - c * stretch : x - (c + 1) * stretch + 1 + width]
+                    own = data[lo : hi + width]
+                    rows.append((xxh3_64_intdigest(shared, c) - (1 << 63), file, row, a + lo, own, 0, hi - lo, x - lo, xxh3_64_intdigest(own, x - lo) - (1 << 63)))
             kinds = [pa.binary() if i == 4 else pa.int64() for i in range(9)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "file", "row", "a", "data", "first", "last", "x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "file", "row", "a", "data", "first", "last", "x", "r"])
 
-    return members.mapInArrow(run, MEMBER)
+    return members.mapInArrow(run, MEMBER + ", r long")
 
 
 def edges(members: DataFrame, width: int, most: int) -> DataFrame:
     """Spans of repeated windows; groups of more than `most` members are split before they are sorted."""
     found: DataFrame | None = None
-    while True:
+
+    def add(spans: DataFrame) -> None:
+        nonlocal found
+        found = spans if found is None else found.unionByName(spans)
+
+    for stretch in (*STRETCH, None):
         sizes = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "group-sizes")
         large = sizes.where(F.col("n") > most)
-        none = large.isEmpty()
+        none = stretch is None or large.isEmpty()
         small = sizes if none else sizes.where(F.col("n") <= most)
-        # A string of full width is the window itself: the group's size alone decides.
-        part = members.join(small.select("key"), "key", "left_semi").select(*members.columns)
-        spans = sorted_groups(part, width)
-        found = spans if found is None else found.unionByName(spans)
+        add(sorted_groups(members.join(small.select("key"), "key", "left_semi").select(*members.columns), width))
         if none:
-            return found
+            break
         hot = members.join(large.select("key"), "key", "left_semi").select(*members.columns)
-        whole = hot.where(F.col("y") - F.col("x") >= width)
-        found = found.unionByName(whole.select("file", "row", (F.col("a") + F.col("first")).alias("lo"), (F.col("a") + F.col("last")).alias("hi")))
-        members = stored(split(hot.where(F.col("y") - F.col("x") < width), width), "members")
+        dealt = stored(split(hot, width, stretch), "stretches")
+        own = dealt.groupBy("key", "r").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "row", "a", "data", "first", "last", "x")).alias("one"))
+        own = stored(own, "different-stretches")
+        twice = own.where("n > 1").select("key", "r")
+        add(dealt.join(twice, ["key", "r"], "left_semi").select("file", "row", F.col("a").alias("lo"), (F.col("a") + F.col("last")).alias("hi")))
+        members = own.select("key", "one.*")
+    return found
 
 
 # -- The operator -----------------------------------------------------------------------------------------
@@ -277,9 +286,9 @@ def contents(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             for file, row, data, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for m in found:
                     a, e, o = m["a"], m["e"], m["o"]
-                    rows.append((m["g"], file, row, a, data[a : e + width], 0, e - a, o, o + GRAM))
-            kinds = [pa.binary() if i == 4 else pa.int64() for i in range(9)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "file", "row", "a", "data", "first", "last", "x", "y"])
+                    rows.append((m["g"], file, row, a, data[a : e + width], 0, e - a, o))
+            kinds = [pa.binary() if i == 4 else pa.int64() for i in range(8)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "file", "row", "a", "data", "first", "last", "x"])
 
     return docs.join(wanted.hint("shuffle_hash"), ["file", "row"]).select("file", "row", "data", "runs").mapInArrow(run, MEMBER)
 
