@@ -35,6 +35,32 @@ def bm25_topk_doctype(spark, d):
     return top.select("item_id", "row_idx", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _sparse_queries(spark, d):
+    """Queries of a word that no document has, alone or with the text's first words."""
+    own = F.concat(F.lit("qqzz"), F.col("item_id").cast("string"), F.when(F.col("item_id") % 3 == 0, F.concat(F.lit(" "), F.col("qtext"))).otherwise(F.lit("")))
+    return X.pool_queries(spark, d).withColumn("qtext", own)
+
+
+@query
+def bm25_topk_unshared(spark, d):
+    top = retrieval.bm25_topk(X.pool(spark, d), _sparse_queries(spark, d), K, "item_id", most=3)
+    return top.select("item_id", "row_idx", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def bm25_topk_doctype_unshared(spark, d):
+    top = retrieval.bm25_topk_by_type(X.pool(spark, d), _sparse_queries(spark, d), K, "item_id", most=3)
+    return top.select("item_id", "row_idx", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def vector_topk_blocks(spark, d):
+    """More queries than are broadcast: blocks of queries against blocks of the pool."""
+    pool = X.table(spark, d, "embeddings")
+    top = retrieval.vector_topk(pool, pool.where("vec_id % 50 = 0"), K, most=4)
+    return top.select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query
 def bm25_corpus_stats(spark, d):
     pool = X.pool(spark, d)

@@ -39,11 +39,14 @@ sc AS (SELECT item_id, row_idx, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.
 TOP = """top AS (SELECT * FROM (SELECT item_id, row_idx, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, row_idx) AS rank
        FROM (SELECT q.item_id, pool.row_idx, coalesce(sc.score, 0.0) AS score FROM q CROSS JOIN pool LEFT JOIN sc ON sc.item_id = q.item_id AND sc.row_idx = pool.row_idx)) WHERE rank <= 3)"""
 SQL["bm25_topk"] = f"WITH {POOL}, {TOP} SELECT item_id, row_idx, score, rank FROM top"
-SQL["bm25_topk_doctype"] = f"""WITH {POOL}
-SELECT item_id, row_idx, score, rank FROM (
-  SELECT item_id, row_idx, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, row_idx) AS rank
-  FROM sc JOIN q USING (item_id) JOIN pool USING (row_idx)
-  WHERE doctype = qtype OR qtype NOT IN (SELECT DISTINCT doctype FROM pool)) WHERE rank <= 3"""
+TYPED = """typed AS (SELECT item_id, row_idx, score, rank FROM (
+  SELECT q.item_id, pool.row_idx, coalesce(sc.score, 0.0) AS score, row_number() OVER (PARTITION BY q.item_id ORDER BY coalesce(sc.score, 0.0) DESC, pool.row_idx) AS rank
+  FROM q JOIN pool ON doctype = qtype OR qtype NOT IN (SELECT DISTINCT doctype FROM pool) LEFT JOIN sc ON sc.item_id = q.item_id AND sc.row_idx = pool.row_idx) WHERE rank <= 3)"""
+SQL["bm25_topk_doctype"] = f"WITH {POOL}, {TYPED} SELECT item_id, row_idx, score, rank FROM typed"
+#: Queries of a word that no document has, alone or with the text's first words.
+SPARSE = POOL.replace("regexp_extract_all(lower(text), '[a-z0-9]+') AS words", "regexp_extract_all('qqzz' || item_id || CASE WHEN item_id % 3 = 0 THEN ' ' || lower(text) ELSE '' END, '[a-z0-9]+')[:3] AS words")
+SQL["bm25_topk_unshared"] = f"WITH {SPARSE}, {TOP} SELECT item_id, row_idx, score, rank FROM top"
+SQL["bm25_topk_doctype_unshared"] = f"WITH {SPARSE}, {TYPED} SELECT item_id, row_idx, score, rank FROM typed"
 SQL["bm25_corpus_stats"] = f"WITH {POOL} SELECT term, df, round(idf, 6) AS idf FROM idf"
 SQL["resolution_mapping"] = f"""WITH {POOL}, {TOP}
 SELECT item_id, arg_min(row_idx, rank) AS candidate_id, arg_min(score, rank) AS score, arg_min(title, rank) AS candidate_title,
@@ -61,6 +64,7 @@ def vectors(score: str, k: int = 3, where: str = "true") -> str:
 
 
 SQL["vector_topk_cosine"] = vectors(COS)
+SQL["vector_topk_blocks"] = vectors(COS)
 SQL["vector_topk_dot"] = vectors(DOT)
 SQL["vector_topk_label_filter"] = vectors(COS, where="a.label = b.label")
 SQL["score_threshold_resolution"] = f"SELECT count(*) FILTER (score >= 0.9) AS resolved, count(*) FILTER (score < 0.9) AS unresolved FROM ({vectors(COS, 2)}) WHERE rank = 2"

@@ -290,8 +290,57 @@ def test_a_document_finds_itself(spark):
     top = retrieval.bm25_topk(pool, q, 2, "qid").collect()
     got = {(r.qid, r["rank"]): (r.row_idx, r.score) for r in top}
     assert got[7, 1][0] == 1 and got[9, 1][0] == 2 and got[8, 1] == (0, 0.0) and got[8, 2] == (1, 0.0)
-    typed = {(r.qid, r["rank"]): r.row_idx for r in retrieval.bm25_topk_by_type(pool, q, 2, "qid").collect()}
-    assert typed[7, 1] == 1 and (9, 1) not in typed
+    typed = {(r.qid, r["rank"]): (r.row_idx, r.score) for r in retrieval.bm25_topk_by_type(pool, q, 2, "qid").collect()}
+    assert typed[7, 1][0] == 1 and (typed[9, 1], typed[9, 2]) == ((0, 0.0), (1, 0.0)) and typed[8, 1] == (0, 0.0)
+
+
+def exhaustive_bm25(pool, queries, k):
+    """Every document scored for every query; pool: row -> (tokens, type), queries: id -> (tokens, type)."""
+    n, avg = len(pool), sum(len(t) for t, _ in pool.values()) / len(pool)
+    df = {}
+    for t, _ in pool.values():
+        for w in set(t):
+            df[w] = df.get(w, 0) + 1
+    raw = {w: np.log(n - c + 0.5) - np.log(c + 0.5) for w, c in df.items()}
+    low = 0.25 * sum(raw.values()) / len(raw)
+    out = {}
+    for q, (words, kind) in queries.items():
+        scores = []
+        for row, (t, own) in pool.items():
+            if kind is None or kind == own or kind not in {x for _, x in pool.values()}:
+                s = sum((low if raw[w] < 0 else raw[w]) * (f := t.count(w)) * 2.5 / (f + 1.5 * (0.25 + 0.75 * len(t) / avg)) for w in words if w in t)
+                scores.append((-round(s, 6) + 0.0, row))
+        out[q] = [(row, -s + 0.0) for s, row in sorted(scores)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_pruned_ranking_equals_an_exhaustive_one(spark, seed):
+    """Words of very different frequency, so that some queries are pruned and others scored in full."""
+    rng = random.Random(seed)
+    vocabulary = ["the", "of", "a"] * 12 + ["law", "act", "case"] * 4 + [f"w{i}" for i in range(60 if seed < 4 else 2)]
+    pool = {i: ([rng.choice(vocabulary) for _ in range(rng.randint(0, 25))], rng.choice("AB")) for i in range(120)}
+    queries = {i: ([rng.choice([*vocabulary, "never"]) for _ in range(rng.randint(1, 7))], rng.choice("ABC")) for i in range(40)}
+    p = spark.createDataFrame([(i, " ".join(t), d) for i, (t, d) in pool.items()], "row_idx int, text string, doctype string")
+    q = spark.createDataFrame([(i, " ".join(t), d) for i, (t, d) in queries.items()], "qid int, qtext string, qtype string")
+    for typed in (False, True):
+        found = retrieval.bm25_topk_by_type(p, q, 4, "qid") if typed else retrieval.bm25_topk(p, q, 4, "qid")
+        got = {}
+        for r in found.orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append((r.row_idx, r.score))
+        want = exhaustive_bm25(pool, {i: (t, d if typed else None) for i, (t, d) in queries.items()}, 4)
+        assert {i: [x for x, _ in v] for i, v in got.items()} == {i: [x for x, _ in v] for i, v in want.items()}
+        assert all(a[1] == pytest.approx(b[1], abs=2e-6) for i in got for a, b in zip(got[i], want[i], strict=True))
+
+
+def test_blocks_of_queries_give_the_same_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "ROWS", 30)
+    rng = random.Random(2)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(5)], rng.choice("xy")) for i in range(100)] + [(200, None, "x")]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, kind string")
+    for options in ({}, {"cosine": False}, {"within": "kind"}):
+        one, many = (sorted(tuple(r) for r in retrieval.vector_topk(v, v, 3, most=n, **options).collect()) for n in (1000, 7))
+        assert one == many and len(one) == 300
 
 
 def test_vectors_and_indexes(spark, tmp_path):
