@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.staging import stored
+from ..sources.staging import spread, stored
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
@@ -21,7 +21,7 @@ def bm25_tokens(text: Column) -> Column:
 def postings(pool: DataFrame, key: str = "row_idx", text: str = "text", *keep: str) -> DataFrame:
     """term, key, tf, dl (the document's length) and the columns to keep: the pool is tokenised once,
     everything else derives from this table."""
-    words = pool.select(key, *keep, bm25_tokens(F.col(text)).alias("w")).select(key, *keep, F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
+    words = spread(pool.select(key, *keep, text)).select(key, *keep, bm25_tokens(F.col(text)).alias("w")).select(key, *keep, F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
     return words.groupBy("term", key, *keep, "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -58,18 +58,19 @@ def top_k(scores: DataFrame, qkey: str, key: str, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-#: A term that more than this share of the documents hold is common.
-COMMON, SLACK = 0.05, 1e-5
+#: A term that more than this share of the documents hold is common; so many times k documents set the goal.
+COMMON, DEEP, SLACK = 0.05, 8, 1e-5
 
 
 def bm25_scores(tf: DataFrame, stats: DataFrame, vocabulary: DataFrame, terms: DataFrame, k: int, qkey: str, key: str, kind: str | None = None) -> DataFrame:
     """qkey, key, score of at least the k best pairs that share a term; terms: qkey, term, qtf and, where
     kind names a column of the postings, has (the value it must have, null for any).
 
-    Postings of common terms are long and add little.  A first pass scores by the other terms alone.  Where a
-    query's k-th best partial score is above all that its common terms could give, a document without one of
-    the other terms can't be among the k best, nor one whose partial score and that sum stay below: only the
-    rest is met with the postings of common terms.  Queries for which this doesn't hold are scored in full.
+    Postings of common terms are long and add little.  A first pass scores by the other terms alone, and the
+    documents best by it are scored in full; the k-th of them is a goal that the k best reach at least.  Where
+    it is above all that a query's common terms could give, a document without one of the other terms can't
+    be among the k best, nor one whose partial score and that sum stay below: only the rest is met with the
+    postings of common terms.  Queries for which this doesn't hold are scored in full.
     """
     match = [F.col("has").isNull() | (F.col("has") == F.col(kind))] if kind else []
     common = F.col("df") > F.col("n") * COMMON
@@ -83,16 +84,20 @@ def bm25_scores(tf: DataFrame, stats: DataFrame, vocabulary: DataFrame, terms: D
             hits = hits.where(m)
         return hits.select(qkey, key, (F.col("gain") * share(F.col("avgdl"))).alias("part"))
 
-    bounds = gain.groupBy(qkey).agg(F.sum(F.when(F.col("common"), F.greatest(F.lit(0.0), F.col("gain") * F.col("top"))).otherwise(0.0)).alias("most"), F.sum(F.when(F.col("common"), F.least(F.lit(0.0), F.col("gain") * F.col("top"))).otherwise(0.0)).alias("least"))
-    rare = stored(met(gain.where("not common"), ["term"]).groupBy(qkey, key).agg(F.sum("part").alias("score")), "bm25-rare")
-    kth = top_k(rare, qkey, key, k).where(F.col("rank") == k).select(qkey, F.col("score").alias("kth"))
-    told = bounds.join(kth, qkey).where(F.col("kth") + F.col("least") > F.col("most") + SLACK).select(qkey, "most", (F.col("kth") + F.col("least")).alias("goal"))
-    told = stored(told, "bm25-told")
-    near = rare.join(told, qkey).where(F.col("score") + F.col("most") + SLACK >= F.col("goal")).select(qkey, key, F.col("score").alias("part"))
-    wanted = near.select(qkey, key).join(gain.where("common"), qkey)
-    more = tf.join(wanted, ["term", key]).crossJoin(one).select(qkey, key, (F.col("gain") * share(F.col("avgdl"))).alias("part"))
+    def completed(part: DataFrame) -> DataFrame:
+        """qkey, key, part: the partial scores and, a row per term, what common terms add to them."""
+        wanted = part.select(qkey, key).join(gain.where("common"), qkey)
+        return part.unionByName(tf.join(wanted, ["term", key]).crossJoin(one).select(qkey, key, (F.col("gain") * share(F.col("avgdl"))).alias("part")))
+
+    bounds = gain.groupBy(qkey).agg(F.coalesce(F.sum(F.when(F.col("common"), F.greatest(F.lit(0.0), F.col("gain") * F.col("top")))), F.lit(0.0)).alias("most"))
+    rare = stored(met(gain.where("not common"), ["term"]).groupBy(qkey, key).agg(F.sum("part").alias("part")), "bm25-rare")
+    best = top_k(rare.withColumnRenamed("part", "score"), qkey, key, DEEP * k).select(qkey, key, F.col("score").alias("part"))
+    full = completed(best).groupBy(qkey, key).agg(F.sum("part").alias("score"))
+    goal = top_k(full, qkey, key, k).where(F.col("rank") == k).select(qkey, F.col("score").alias("goal"))
+    told = stored(bounds.join(goal, qkey).where(F.col("goal") > F.col("most") + SLACK), "bm25-told")
+    near = rare.join(told, qkey).where(F.col("part") + F.col("most") + SLACK >= F.col("goal")).select(qkey, key, "part")
     whole = met(gain.join(told, qkey, "left_anti"), ["term"])
-    return near.unionByName(more).unionByName(whole).groupBy(qkey, key).agg(F.round(F.sum("part"), 6).alias("score"))
+    return completed(near).unionByName(whole).groupBy(qkey, key).agg(F.round(F.sum("part"), 6).alias("score"))
 
 
 def with_zeros(scores: DataFrame, queries: DataFrame, pool: DataFrame, qkey: str, key: str, k: int, deep: bool = False, kind: str | None = None) -> DataFrame:
@@ -121,8 +126,10 @@ def _bm25(pool: DataFrame, queries: DataFrame, k: int, qkey: str, key: str, text
     terms = query_terms(queries, qkey, qtext, most)
     if kind:
         terms = terms.join(queries.select(*whose), qkey)
-    scores = stored(bm25_scores(tf, stats, vocabulary, terms, k, qkey, key, kind), "bm25-scores")
+    scores = bm25_scores(tf, stats, vocabulary, terms, k, qkey, key, kind)
     deep = (vocabulary.agg(F.min("idf")).first()[0] or 0.0) < 0
+    # Without negative scores a query of fewer than k hits has all of them among its k best.
+    scores = stored(scores if deep else top_k(scores, qkey, key, k).drop("rank"), "bm25-scores")
     return top_k(with_zeros(scores, queries.select(*whose), pool, qkey, key, k, deep, kind), qkey, key, k)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as T
 from ..operators import chunking, coref, metadata, patterns, registry, retrieval, spans, stats
+from ..sources.staging import spread
 from . import fixtures as X
 
 K = 3
@@ -108,13 +109,13 @@ def score_threshold_resolution(spark, d):
 
 @query
 def token_kind_counts(spark, d):
-    tokens = X.table(spark, d, "documents").select("lang", F.explode(T.tokenize(F.col("text"))).alias("t"))
+    tokens = spread(X.table(spark, d, "documents").select("lang", "text")).select("lang", F.explode(T.tokenize(F.col("text"))).alias("t"))
     return tokens.groupBy("lang", T.token_kind(F.col("t")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("t")).alias("chars"))
 
 
 @query
 def token_freq_topk(spark, d):
-    tokens = X.table(spark, d, "documents").select("lang", F.explode(T.tokenize(F.col("text"))).alias("token"))
+    tokens = spread(X.table(spark, d, "documents").select("lang", "text")).select("lang", F.explode(T.tokenize(F.col("text"))).alias("token"))
     n = tokens.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
     best = Window.partitionBy("lang").orderBy(F.col("n").desc(), "token")
     return n.withColumn("rank", F.row_number().over(best)).where("rank <= 20").select("lang", "token", "n", F.col("rank").cast("long").alias("rank"))

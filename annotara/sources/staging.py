@@ -33,3 +33,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where its scan is too small to reach them, for steps that cost far more than
+    the exchange; larger scans stay as they are."""
+    spark = df.sparkSession
+    files, cores = df.inputFiles(), spark.sparkContext.defaultParallelism
+    if not files or len(files) >= cores:
+        return df
+    size, conf, parts = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))), spark._jsc.hadoopConfiguration(), 0
+    for f in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f))
+        parts += -(-path.getFileSystem(conf).getFileStatus(path).getLen() // size)
+    return df if parts >= cores else df.repartition(cores)
