@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Unicode's White_Space, as the pattern's \s has it; Python's own \s has four more control characters.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -230,4 +232,4 @@ def query(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             back = [hashlib.sha256(c.decode(x)).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.count(b",") for x in ids], pa.int64()), pa.array(digest), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, SCHEMA)

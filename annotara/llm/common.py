@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
-import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_dir, spread, stored  # noqa: F401  (the operators take them from here)
+
 #: The white space that the contracts name: [\x20\x09-\x0D].
 WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
@@ -26,28 +24,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder that driver and executors share.
-
-    The cluster names that folder in spark.checkpoint.dir.  Only where it is unset, as in local
-    tests, a temporary folder of this machine is made and named there.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="annotara-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/annotara/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def complete(spark: SparkSession, path: str) -> bool:
     """Whether a table was written to path to its end."""
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spread, stored
 from .word_ids import word_ids
 
 VOCABULARY, END_ID, WINDOW, BLOCK = "word_bpe_49k.json", 1, 2048, 64
@@ -211,7 +211,7 @@ def measured(docs: DataFrame, vocabulary_path: str, end_id: int, window: int, bl
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(n % window), pa.array(full, longs), pa.array(rest, pa.int64()), pa.array(blocks, longs)], ["doc_id", "tokens", "rest", "full_crc", "rest_crc", "block_crc"])
 
     schema = "doc_id long, tokens long, rest long, full_crc array<long>, rest_crc long, block_crc array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID, window: int = WINDOW, block: int = BLOCK, literal: bool = True) -> DataFrame:

@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 KINDS = ("email", "phone", "card", "ssn", "iban", "ip", "date")
 #: For tests and benchmarks; a deployment passes its own secret.
 KEY, KEY_SETTING = b"annotara-demo-key", "annotara.pii.key"
@@ -345,4 +347,4 @@ def query(docs: DataFrame, key: bytes | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in done], pa.string()), *counts], ["doc_id", "text", *(f"n_{k}" for k in KINDS)])
 
     schema = "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, schema)

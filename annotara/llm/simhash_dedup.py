@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, free_name, located, stored
+from .common import dropped, free_name, located, spread, stored
 
 SEED, SHINGLE, DISTANCE, SEGMENTS = 42, 3, 3, 8
 LAST = (1 << 63) - 1
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
             fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(fp)], [*keep, "fp"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return spread(docs.select(*keep, F.col("text").cast("string").alias("text"))).mapInArrow(run, schema)
 
 
 def chain_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

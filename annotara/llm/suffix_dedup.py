@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, located, released, stored
+from .common import dropped, located, released, spread, stored
 
 WIDTH, GRAM, MOST, BLOCK_BYTES, BLOCK_WINDOWS = 200, 32, 1024, 256 << 10, 1 << 19
 #: Offsets of a stretch on each level of splitting.
@@ -106,7 +106,7 @@ def anchored(rows: DataFrame, width: int) -> DataFrame:
             at = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(flat, ["g", "r", "a", "e", "o"]))], ["file", "row", "runs"])
 
-    return rows.mapInArrow(run, f"file long, row long, runs array<{RUN}>")
+    return spread(rows).mapInArrow(run, f"file long, row long, runs array<{RUN}>")
 
 
 # -- Suffix sorting ---------------------------------------------------------------------------------------

@@ -57,7 +57,7 @@ def encode_rows(docs: DataFrame, vocabulary_path: str, end_id: int = END_ID, lit
 
 def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = END_ID, literal: bool = True, **sizes: int) -> None:
     """Writes docs' ids to path in ascending doc_id order."""
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, 16)).sortWithinPartitions("doc_id", "text")
     encode_rows(ordered, vocabulary_path, end_id, literal).write.options(**layout(**sizes)).parquet(path)
 
 
