@@ -3,6 +3,11 @@
 toxicity (toxic documents go), exact deduplication (one row of equal texts stays), SimHash
 near-deduplication (one document of each group stays), pseudonyms for personal data, packing into
 sequences of tokens.  All stages but the last return the columns of documents.
+
+Cases.  Null and empty texts pass the classifier (they have no toxic word) and are copies of each other, so
+one of them stays, and is packed as its end id.  Null ids lose against others; rows that repeat, also with
+the same id, are copies like any.  An empty table gives no rows at any stage.  Further columns of documents
+pass all stages but the last, whatever their names.  Texts of any length are read as a whole.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune(spark)
-    return packing.pack(docs, public_tokenizers.path(packing.VOCABULARY))
+    return packing.pack(docs, public_tokenizers.path(packing.VOCABULARY), literal=False)
 
 
 STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("simhash_dedup", near), ("pii", private), ("packing", packed)]
