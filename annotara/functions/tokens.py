@@ -130,6 +130,33 @@ def without_thoughts(output: Column) -> Column:
     return F.trim(F.regexp_replace(output, r"(?s)<think>.*?</think>", ""))
 
 
+def final_channel(output: Column, start: str = "<|message|>", end: str = "<|eot|>", to: str = "to=user") -> Column:
+    """The last message of an output with channels that is for the user; all of it where there is none."""
+    found = F.regexp_extract_all(output, F.lit(rf"(?s)\Q{to}\E\s*\Q{start}\E(.*?)(?:\Q{end}\E|$)"), F.lit(1))
+    return F.trim(F.when(F.size(found) > 0, F.get(found, F.size(found) - 1)).otherwise(output))
+
+
+#: Entities that stand in attribute values (fixed values), the ampersand last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def normalized_docid(docid: Column) -> Column:
+    """Docids as they are compared: entities resolved, trimmed; null stays null."""
+    for entity, char in ENTITIES:
+        docid = F.replace(docid, F.lit(entity), F.lit(char))
+    return F.trim(docid)
+
+
+def label_count(html: Column) -> Column:
+    """Opening label tags."""
+    return F.regexp_count(html, F.lit(r"(?i)<(?:manual|auto)_label\b"))
+
+
+def count_words(text: Column) -> Column:
+    """Words of letters and digits, with apostrophes and hyphens within."""
+    return F.regexp_count(text, F.lit(WORD))
+
+
 def audit_uri(uri: Column) -> Column:
     """Links as the audit compares them: lower case, https, no www., no slash at the end."""
     low = F.lower(F.trim(uri))

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import stored
 from .spans import ratio
 
 
@@ -71,7 +72,7 @@ def _side(table: DataFrame, this: str, other: str) -> DataFrame:
 
 def link_counts(both: DataFrame) -> DataFrame:
     """doc_id and p_/r_ numerators and denominators of MUC, B3 and LEA (precision: the system's clusters)."""
-    table = contingency(both).cache()
+    table = stored(contingency(both), "contingency")
     names = ["muc_num", "muc_den", "b3_num", "b3_den", "lea_num", "lea_den"]
     r = _side(table, "gold", "system").select("doc_id", *[F.col(n).alias(f"r_{n}") for n in names])
     p = _side(table, "system", "gold").select("doc_id", *[F.col(n).alias(f"p_{n}") for n in names])

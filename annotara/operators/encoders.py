@@ -6,6 +6,7 @@ stands in, which needs no files and gives the same vectors everywhere.
 
 from __future__ import annotations
 
+import importlib
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -57,9 +58,7 @@ class SentenceModel:
 
     def _encode(self, texts: list[str]) -> np.ndarray:
         if self._model is None:
-            from sentence_transformers import SentenceTransformer
-
-            self._model = SentenceTransformer(self.path)
+            self._model = needed("sentence_transformers", self.name).SentenceTransformer(self.path)
         return np.asarray(self._model.encode(texts), np.float64)
 
     def documents(self, texts: list[str]) -> np.ndarray:
@@ -78,13 +77,60 @@ def mean_pooled(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return (states * mask[:, :, None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), 1e-9)
 
 
-ENCODERS: dict[str, Callable[[], Encoder]] = {"hashing": Hashing}
+class TokenModel:
+    """A model of the transformers library: mean-pooled states (dense), or max-pooled weights of its vocabulary
+    (sparse)."""
+
+    def __init__(self, name: str, path: str, sparse: bool = False, batch: int = 16):
+        self.name, self.path, self.sparse, self.batch, self._model = name, path, sparse, batch, None
+        self.similarity = "dot" if sparse else "cosine"
+
+    def documents(self, texts: list[str]) -> np.ndarray:
+        torch, transformers = needed("torch", self.name), needed("transformers", self.name)
+        if self._model is None:
+            kind = transformers.AutoModelForMaskedLM if self.sparse else transformers.AutoModel
+            self._model = transformers.AutoTokenizer.from_pretrained(self.path), kind.from_pretrained(self.path).eval()
+        tokenizer, model = self._model
+        out = []
+        with torch.no_grad():
+            for i in range(0, len(texts), self.batch):
+                own = tokenizer(texts[i : i + self.batch], padding=True, truncation=True, return_tensors="pt")
+                mask = own["attention_mask"].numpy().astype(np.float64)
+                got = model(**own)
+                out.append(sparse_weights(got.logits.numpy(), mask) if self.sparse else mean_pooled(got.last_hidden_state.numpy(), mask))
+        return np.concatenate(out) if out else np.zeros((0, 1))
+
+    queries = documents
+
+
+def needed(module: str, model: str):
+    """A library that is loaded on first use."""
+    try:
+        return importlib.import_module(module)
+    except ImportError as e:
+        raise RuntimeError(f"the encoder {model} needs the library {module}, which isn't installed; hashing needs none") from e
+
 
+#: What dense models want before a query.
+PASSAGES = "Represent this sentence for searching relevant passages: "
+INSTRUCTED = "Instruct: Given a web search query, retrieve relevant passages that answer the query\nQuery:"
 
-def encoder(name: str) -> Encoder:
+#: Encoders by name; model encoders take the folder or name of their files, and load them on first use.
+ENCODERS: dict[str, Callable[..., Encoder]] = {
+    "hashing": Hashing,
+    "bge-s": lambda path="BAAI/bge-small-en-v1.5": SentenceModel("bge-s", path, PASSAGES),
+    "bge-l": lambda path="BAAI/bge-large-en-v1.5": SentenceModel("bge-l", path, PASSAGES),
+    "legal-bert": lambda path="nlpaueb/legal-bert-base-uncased": TokenModel("legal-bert", path),
+    "qwen3-0.6b": lambda path="Qwen/Qwen3-Embedding-0.6B": SentenceModel("qwen3-0.6b", path, INSTRUCTED),
+    "qwen3-8b": lambda path="Qwen/Qwen3-Embedding-8B": SentenceModel("qwen3-8b", path, INSTRUCTED),
+    "splade": lambda path="naver/splade-v3": TokenModel("splade", path, sparse=True),
+}
+
+
+def encoder(name: str, **options) -> Encoder:
     if name not in ENCODERS:
         raise ValueError(f"no encoder named {name}; there are {', '.join(sorted(ENCODERS))}")
-    return ENCODERS[name]()
+    return ENCODERS[name](**options)
 
 
 def encoded(rows: DataFrame, make: Callable[[], Encoder], key: str, text: str, role: str = "documents", out: str = "embedding") -> DataFrame:
@@ -126,13 +172,33 @@ def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return pool, spark.read.parquet(f"{root}/postings")
 
 
+def by_vectors(name: str) -> Callable[..., DataFrame]:
+    """A retriever with the arguments of bm25_topk that encodes both sides."""
+
+    def search(pool: DataFrame, queries: DataFrame, k: int, qkey: str, key: str = "row_idx", text: str = "text", qtext: str = "qtext", **options) -> DataFrame:
+        model = encoder(name, **options)
+        v = encoded(pool, lambda: model, key, text).withColumnRenamed(key, "vec_id")
+        q = encoded(queries, lambda: model, qkey, qtext, "queries").withColumnRenamed(qkey, "vec_id")
+        found = retrieval.vector_topk(v, q, k, cosine=model.similarity == "cosine")
+        return found.select(F.col("query_id").alias(qkey), F.col("vec_id").alias(key), "score", "rank")
+
+    return search
+
+
 RETRIEVERS: dict[str, Callable[..., DataFrame]] = {
     "bm25": retrieval.bm25_topk,
     "bm25-by-type": retrieval.bm25_topk_by_type,
     "vector": retrieval.vector_topk,
+    **{name: by_vectors(name) for name in ENCODERS},
 }
 
 
+def retriever(name: str) -> Callable[..., DataFrame]:
+    if name not in RETRIEVERS:
+        raise ValueError(f"no retriever named {name}; there are {', '.join(sorted(RETRIEVERS))}")
+    return RETRIEVERS[name]
+
+
 def texts_of(pool: DataFrame) -> DataFrame:
     """row_idx and the text by which a candidate is found."""
     return pool.select("row_idx", F.concat_ws(" | ", "docType", "docTitle", "metadata_text").alias("text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from html import escape
@@ -100,6 +101,37 @@ def offsets(html: str) -> list[dict]:
     return out
 
 
+def identified(html: str) -> list[dict]:
+    """id and docid of every element that has both."""
+    return [{"id": e.get("id"), "docid": e.get("docid")} for e in htmltree.parse(html).elements() if e.get("id") is not None and e.get("docid") is not None]
+
+
+def linked(html: str) -> list[dict]:
+    """Labels with their link, in document order."""
+    rows = [e for e in htmltree.parse(html).elements() if e.tag in LABELS]
+    return [{"labelname": (e.get("labelname") or "").strip().lower(), "docid": e.get("docid"), "uri": e.get("uri"), "text": squeeze(e.all_text())} for e in rows]
+
+
+def patterns(html: str) -> list[dict]:
+    """Of each parent-level label its name and the names of the labels in it, in order."""
+    out = []
+    for e in htmltree.parse(html).elements():
+        if e.tag in LABELS and e.get("parent") == "":
+            out.append({"name": (e.get("labelname") or "").strip().lower(), "parts": [(c.get("labelname") or "").strip().lower() for c in e.elements() if c.tag in LABELS]})
+    return out
+
+
+def sublabel_texts(html: str) -> list[dict]:
+    """Text of every label within a parent-level one: parent's name, part and text, in order."""
+    out = []
+    for e in htmltree.parse(html).elements():
+        if e.tag in LABELS and e.get("parent") == "":
+            for c in e.elements():
+                if c.tag in LABELS and (text := squeeze(c.all_text())):
+                    out.append({"parent": (e.get("labelname") or "").strip().lower(), "part": (c.get("labelname") or "").strip().lower(), "text": text})
+    return out
+
+
 def _relation(docs: DataFrame, schema: str, rows_of: Callable[[str], list[dict]]) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -135,6 +167,46 @@ def offset_rows(docs: DataFrame) -> DataFrame:
     return _relation(docs, OFFSETS, offsets)
 
 
+def docid_mapping(docs: DataFrame) -> DataFrame:
+    """doc_id, id, docid of elements with both; of equal ids the last counts."""
+    rows = _relation(docs, "doc_id string, seq long, id string, docid string", identified)
+    return rows.groupBy("doc_id", "id").agg(F.max_by("docid", "seq").alias("docid"))
+
+
+def uri_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, seq, labelname, docid, uri, text of labels that have a link attribute."""
+    return _relation(docs, "doc_id string, seq long, labelname string, docid string, uri string, text string", linked).where("uri is not null")
+
+
+def pattern_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, seq, name, parts of parent-level labels."""
+    return _relation(docs, "doc_id string, seq long, name string, parts array<string>", patterns)
+
+
+def sublabel_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, seq, parent, part, text of labels within parent-level ones."""
+    return _relation(docs, "doc_id string, seq long, parent string, part string, text string", sublabel_texts)
+
+
+def docids_applied(docs: DataFrame, mapping: DataFrame) -> DataFrame:
+    """doc_id, html, missing: docs with the docids of mapping (doc_id, id, docid) in their labels, earlier docids
+    and links gone, and the ids of mapping that no label has."""
+    maps = mapping.groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("id", "docid")))).alias("m"))
+    rows = docs.select("doc_id", "html").join(maps, "doc_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, missing = [], []
+            for html, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                of = json.loads(m) if m else {}
+                out.append(with_docids(html or "", of))
+                have = {attributes(t[0]).get("id") for t in LABEL_TAG.finditer(html or "") if not t[1]}
+                missing.append(sorted(set(of) - have))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(missing, pa.list_(pa.string()))], ["doc_id", "html", "missing"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, html string, missing array<string>")
+
+
 # -- rewriting
 
 

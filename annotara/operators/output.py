@@ -327,6 +327,24 @@ def tidied(html: str, names: frozenset[str] = CLEANED, rounds: int = 50) -> str:
     return htmltree.write(root)
 
 
+# -- validation of finished documents
+
+
+def same_but_labels(html: str, original: str) -> bool:
+    """Whether two documents are one but for automatic labels and the formatting that tidying joins or drops."""
+    a, b = (tidied(re.sub(r"(?i)</?auto_label[^>]*>", "", x)) for x in (html, original))
+    return a == b
+
+
+def preserved(html: str, original: str) -> str | None:
+    """None where a document is the original and labels only, else what differs: text or tags."""
+    a, b = (htmltree.parse(x).all_text() for x in (html, original))
+    if a != b:
+        at = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        return f"text differs at {at}"
+    return None if same_but_labels(html, original) else "tags differ"
+
+
 # -- columns
 
 
@@ -373,6 +391,11 @@ def leaf_block_column(html: pa.Array) -> pa.Array:
     return pa.array([htmltree.leaf_blocks(t or "") for t in html.to_pylist()], pa.list_(pa.string()))
 
 
+@F.arrow_udf(T.StringType())
+def preserved_column(html: pa.Array, original: pa.Array) -> pa.Array:
+    return pa.array([preserved(a or "", b or "") for a, b in zip(html.to_pylist(), original.to_pylist(), strict=True)], pa.string())
+
+
 bracket_column = text_function(lambda t: "".join(bracketed(tokenize(t))))
 hoist_column = text_function(hoisted)
 tidy_column = text_function(tidied)

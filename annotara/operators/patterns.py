@@ -7,6 +7,8 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import stored
+
 MONTHS = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
 PLACES = "London|Toronto|Ottawa|Montreal|Montréal|Vancouver|New\\s+York|Chicago|Oxford|Cambridge|Totonto"
 
@@ -123,7 +125,7 @@ def greedy(items: DataFrame, weights: DataFrame, n: int) -> DataFrame:
     Each step is one aggregation over uncovered items; only the chosen example's id comes to the driver.
     """
     spark = items.sparkSession
-    left = items.distinct().join(weights, "item").select("example", "item", "weight").cache()
+    left = stored(items.distinct().join(weights, "item").select("example", "item", "weight"), "greedy")
     chosen: list[tuple[int, int, float]] = []
     for step in range(1, n + 1):
         best = left.groupBy("example").agg(F.round(F.sum("weight"), 6).alias("gain")).orderBy(F.col("gain").desc(), "example").first()
@@ -131,7 +133,7 @@ def greedy(items: DataFrame, weights: DataFrame, n: int) -> DataFrame:
             break
         chosen.append((step, best["example"], best["gain"]))
         covered = left.where(F.col("example") == best["example"]).select("item").distinct()
-        left = left.join(covered, "item", "left_anti").cache()
+        left = stored(left.join(covered, "item", "left_anti"), "greedy")
     return spark.createDataFrame(chosen, f"step long, example {items.schema['example'].dataType.simpleString()}, gain double")
 
 

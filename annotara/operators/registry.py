@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tokens import normalized_docid
+
 FIELDS = ("title", "citation", "fragment", "author")
 
 
 def keyed(mentions: DataFrame) -> DataFrame:
     """Adds profile: the docid, or a key of the mention's own."""
-    return mentions.withColumn("profile", F.coalesce(F.concat(F.lit("d:"), F.trim("docid")), F.concat(F.lit("m:"), F.col("mention_id").cast("string"))))
+    return mentions.withColumn("profile", F.coalesce(F.concat(F.lit("d:"), normalized_docid(F.col("docid"))), F.concat(F.lit("m:"), F.col("mention_id").cast("string"))))
 
 
 def values(mentions: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -30,7 +32,7 @@ def profiles(mentions: DataFrame, fields: dict[str, str]) -> DataFrame:
     """doc_id, profile, docid, doc_type (of the first mention that has one), first_seen_id, n_mentions,
     main_title (first title), and one ordered array per field."""
     k = keyed(mentions)
-    base = k.groupBy("doc_id", "profile").agg(F.min("docid").alias("docid"), F.min_by("doc_type", F.when(F.col("doc_type").isNotNull(), F.col("mention_id"))).alias("doc_type"), F.min("mention_id").alias("first_seen_id"), F.count(F.lit(1)).alias("n_mentions"))
+    base = k.groupBy("doc_id", "profile").agg(F.min(normalized_docid(F.col("docid"))).alias("docid"), F.min_by("doc_type", F.when(F.col("doc_type").isNotNull(), F.col("mention_id"))).alias("doc_type"), F.min("mention_id").alias("first_seen_id"), F.count(F.lit(1)).alias("n_mentions"))
     v = values(mentions, fields)
 
     def listed(field: str) -> Column:
@@ -58,6 +60,69 @@ def snapshot_before(mentions: DataFrame, first_seen: DataFrame, count: str) -> D
     return events.withColumn(count, F.coalesce(F.sum("n").over(before), F.lit(0))).where("ask = 1").select("doc_id", F.col("at").alias("mention_id"), count)
 
 
+def snapshots(mentions: DataFrame, first: DataFrame, values: DataFrame, same_type: bool = False) -> DataFrame:
+    """doc_id, mention_id, docid, doc_type, first_seen_id, values of every profile that a mention finds: those
+    first seen before it, with the values (field, value, first_seen_id, in order) seen before it; same_type:
+    only profiles of the mention's own type.  first: doc_id, profile, docid, doc_type, first_seen_id.
+
+    The result is as large as the prompts that are made of it: a row per mention and earlier profile of its
+    document; documents are the keys of all joins.
+    """
+    seen = mentions.select("doc_id", "mention_id", F.col("doc_type").alias("own_type"))
+    known = seen.join(first, "doc_id").where("first_seen_id < mention_id or first_seen_id is null")
+    known = known.where(F.col("own_type").eqNullSafe(F.col("doc_type"))) if same_type else known
+    known = known.select("doc_id", "mention_id", "profile", "docid", "doc_type", "first_seen_id")
+    lists = values.groupBy("doc_id", "profile").agg(F.array_sort(F.collect_list(F.struct("field", "ord", "value", "first_seen_id"))).alias("v"))
+    rows = known.join(lists, ["doc_id", "profile"], "left")
+    before = F.filter(F.coalesce("v", F.array().cast(lists.schema["v"].dataType)), lambda x: x["first_seen_id"].isNull() | (x["first_seen_id"] < F.col("mention_id")))
+    return rows.select("doc_id", "mention_id", "profile", "docid", "doc_type", "first_seen_id", F.transform(before, lambda x: F.struct(x["field"].alias("field"), x["value"].alias("value"), x["first_seen_id"].alias("first_seen_id"))).alias("values"))
+
+
+#: Names of a profile's parts in the JSON form (fixed values) and here.
+JSON_FIELDS = {"alternative_titles": "title", "citations": "citation", "fragments_mentioned": "fragment", "authors": "author"}
+
+
+def as_json(profile_rows: DataFrame, values: DataFrame) -> DataFrame:
+    """doc_id, registry: {"profiles": [...]} of each document, profiles by their first mention."""
+
+    def part(field: str) -> Column:
+        own = F.array_sort(F.collect_list(F.when(F.col("field") == field, F.struct("ord", "value", "first_seen_id"))))
+        return F.map_from_entries(F.transform(own, lambda x: F.struct(x["value"], x["first_seen_id"])))
+
+    lists = values.groupBy("doc_id", "profile").agg(*[part(f).alias(n) for n, f in JSON_FIELDS.items()])
+    rows = profile_rows.join(lists, ["doc_id", "profile"], "left")
+    empty = F.create_map().cast("map<string,bigint>")
+    one = F.struct("first_seen_id", "profile", F.struct("doc_type", F.lit(None).cast("string").alias("jurisdiction"), "docid", *[F.coalesce(F.col(n).cast("map<string,bigint>"), empty).alias(n) for n in JSON_FIELDS], "first_seen_id").alias("p"))
+    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(one), lambda a, b: F.when(a["first_seen_id"] < b["first_seen_id"], -1).when(a["first_seen_id"] > b["first_seen_id"], 1).when(a["profile"] < b["profile"], -1).when(a["profile"] > b["profile"], 1).otherwise(0)).alias("x"))
+    return listed.select("doc_id", F.to_json(F.struct(F.transform("x", lambda x: x["p"]).alias("profiles")), {"ignoreNullFields": "false"}).alias("registry"))
+
+
+def from_json(registries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Profiles (doc_id, nth, doc_type, docid, first_seen_id, main_title) and values (doc_id, nth, field, value,
+    first_seen_id, ord) of doc_id, registry.  Parts may be maps to first mentions or, as older files have
+    them, lists without."""
+    parts = ", ".join(f"{n}: string" for n in JSON_FIELDS)
+    parsed = F.from_json("registry", f"struct<profiles: array<struct<doc_type: string, jurisdiction: string, docid: string, {parts}, first_seen_id: string>>>")["profiles"]
+    rows = registries.select("doc_id", F.posexplode(parsed).alias("nth", "p"))
+
+    def entries(name: str, field: str) -> Column:
+        mapped = F.transform(F.map_entries(F.from_json(F.col(f"p.{name}"), "map<string,string>")), lambda e: F.struct(e["key"].alias("value"), e["value"].cast("bigint").alias("first_seen_id")))
+        listed = F.transform(F.from_json(F.col(f"p.{name}"), "array<string>"), lambda v: F.struct(v.alias("value"), F.lit(None).cast("bigint").alias("first_seen_id")))
+        either = F.when(F.col(f"p.{name}").startswith("["), listed).otherwise(mapped)
+        named = F.transform(either, lambda e, i: F.struct(F.lit(field).alias("field"), e["value"].alias("value"), e["first_seen_id"].alias("first_seen_id"), (i + 1).alias("ord")))
+        return F.coalesce(named, F.array().cast("array<struct<field:string,value:string,first_seen_id:bigint,ord:int>>"))
+
+    each = F.flatten(F.array(*[entries(n, f) for n, f in JSON_FIELDS.items()]))
+    found = rows.select("doc_id", "nth", F.inline(each))
+    title = F.get(F.filter(each, lambda v: v["field"] == "title"), F.lit(0))["value"]
+    return rows.select("doc_id", "nth", "p.doc_type", "p.docid", F.col("p.first_seen_id").cast("bigint").alias("first_seen_id"), title.alias("main_title")), found
+
+
+def named_by_title(profile_rows: DataFrame) -> DataFrame:
+    """Profiles whose docid is their main title, where they have one."""
+    return profile_rows.withColumn("docid", F.coalesce(normalized_docid(F.col("main_title")), F.col("docid")))
+
+
 def query_text(profile: DataFrame) -> Column:
     """doc_type | main title | other titles | citations | [fragments] | authors, parts that are there."""
 

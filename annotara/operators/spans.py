@@ -72,6 +72,13 @@ def anchoring(human: DataFrame, assisted: DataFrame, machine: DataFrame) -> Data
     return total.where("extra > 0").select("labelname", "anchored", "extra", F.round(ratio(F.col("anchored"), F.col("extra")), 6).alias("rate"))
 
 
+def anchoring_rollup(human: DataFrame, assisted: DataFrame, machine: DataFrame) -> DataFrame:
+    """anchoring per document, per label and over all; absent keys are 'all'."""
+    counts = match_counts(machine, unmatched(assisted, human)).select(F.col("doc_id").cast("string").alias("doc"), "labelname", F.col("tp").alias("anchored"), F.col("n_system").alias("extra"))
+    sets = counts.groupingSets([[], ["doc"], ["labelname"]], "doc", "labelname").agg(F.sum("anchored").alias("anchored"), F.sum("extra").alias("extra")).where("extra > 0")
+    return sets.select(F.coalesce("doc", F.lit("all")).alias("doc"), F.coalesce("labelname", F.lit("all")).alias("labelname"), "anchored", "extra", F.round(ratio(F.col("anchored"), F.col("extra")), 6).alias("rate"))
+
+
 def anchoring_by_id(human: DataFrame, assisted: DataFrame, machine: DataFrame) -> DataFrame:
     """anchoring where spans carry ids: an assisted span is the machine's own if the machine has its id."""
     extra = unmatched(assisted, human)
@@ -139,7 +146,8 @@ def located_spans(spans: DataFrame, plain: str, chars: int = 200) -> DataFrame:
     """Adds start_pos and context: the nth span of a label and text takes the nth place, without overlaps,
     where its text occurs in the document's plain text; context is squeezed lower text around it."""
     nth = F.row_number().over(Window.partitionBy("doc_id", "labelname", "text").orderBy("seq"))
-    parts = F.split(F.col(plain), F.concat(F.lit(r"\Q"), F.col("text"), F.lit(r"\E")), -1)
+    # Within a quotation \E would end it: it is quoted on its own.
+    parts = F.split(F.col(plain), F.concat(F.lit(r"\Q"), F.replace(F.col("text"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), -1)
     head = F.aggregate(F.slice(parts, 1, F.col("nth")), F.lit(0), lambda a, p: a + F.length(p))
     at = F.when(F.size(parts) > F.col("nth"), head + (F.col("nth") - 1) * F.length("text")).otherwise(-1)
     low = F.greatest(F.col("start_pos") - chars, F.lit(0))
