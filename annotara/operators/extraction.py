@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
 from html import escape
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import htmltree
 from ..functions.labels import LABEL_TAG, attributes
 
+#: The tokens of functions.tokens, in Python.
+PIECES = re.compile(r"""(<[^>]*>)|(\s+)|([.,;:!?()\[\]{}"'`‑–—])|(\w+)|([^\w\s<>])""")
 LABELS = ("manual_label", "auto_label")
 SUBLABELS = ("title", "citation", "fragment", "authors")
 MENTIONS = "doc_id string, mention_id long, name string, docid string, uri string, text string, html string, sublabels array<struct<name:string,text:string>>"
@@ -132,6 +135,23 @@ def sublabel_texts(html: str) -> list[dict]:
     return out
 
 
+def contexts(html: str, most: int) -> list[dict]:
+    """Of each parent-level label with a docid, at most so many tokens of the text before it; one pass."""
+    out: list[dict] = []
+    before: deque[str] = deque(maxlen=most)
+    for m in PIECES.finditer(re.sub(r"(?s)<!--.*?-->", "", html)):
+        t = m[0]
+        if t.startswith("<") and t.endswith(">") and len(t) > 2:
+            tag = LABEL_TAG.fullmatch(t)
+            if tag and not tag[1] and (own := attributes(t)).get("parent") == "" and "docid" in own:
+                out.append({"context": "".join(before)})
+        elif before and not t.strip() and not before[-1].strip():
+            before[-1] += t
+        else:
+            before.append(t)
+    return out
+
+
 def _relation(docs: DataFrame, schema: str, rows_of: Callable[[str], list[dict]]) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -167,6 +187,11 @@ def offset_rows(docs: DataFrame) -> DataFrame:
     return _relation(docs, OFFSETS, offsets)
 
 
+def context_rows(docs: DataFrame, most: int) -> DataFrame:
+    """doc_id, mention_id, context: at most so many tokens before each mention."""
+    return _relation(docs, "doc_id string, mention_id long, context string", lambda html: contexts(html, most))
+
+
 def docid_mapping(docs: DataFrame) -> DataFrame:
     """doc_id, id, docid of elements with both; of equal ids the last counts."""
     rows = _relation(docs, "doc_id string, seq long, id string, docid string", identified)

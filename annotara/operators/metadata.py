@@ -16,6 +16,14 @@ def solr_documents(metadata: Column) -> Column:
     return F.coalesce(parsed["response"]["docs"], F.array().cast(CANDIDATE))
 
 
+def solr_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with metadata as a JSON array of the response's documents, and one row: rows read, rows dropped because
+    their JSON is broken or has no documents."""
+    found = rows.withColumn("__docs", F.from_json("metadata", f"struct<response:struct<docs:{CANDIDATE}>>")["response"]["docs"])
+    kept = found.where("__docs is not null").withColumn("metadata", F.to_json("__docs")).drop("__docs")
+    return kept, found.agg(F.count(F.lit(1)).alias("read"), F.count_if(F.col("__docs").isNull()).alias("dropped"))
+
+
 def candidates(pool: DataFrame) -> DataFrame:
     """original_url, metadata (JSON array) -> one row per candidate with its text."""
     rows = pool.select("original_url", F.posexplode(F.coalesce(F.from_json("metadata", CANDIDATE), F.array().cast(CANDIDATE))).alias("pos", "c"))

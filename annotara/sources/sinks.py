@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,38 @@ def resumed(docs: DataFrame, path: str, key: str, stage: Callable[[DataFrame], D
     return spark.read.parquet(path)
 
 
+def write_files(rows: DataFrame, path: str, name: str, value: str) -> int:
+    """One file per row below path, named by a column, with the column's text or bytes; repeats of a task write
+    the same files again.  Returns their number.  path has a scheme that the workers can reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path)
+        n = 0
+        for b in batches:
+            for file, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at = f"{root}/{file}"
+                system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(at) as out:
+                    out.write(data.encode() if isinstance(data, str) else data or b"")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return rows.select(name, value).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_links(mapping: DataFrame, path: str) -> None:
+    """<doc_id>_coref_mapping.json and <doc_id>_coref_clusters.json of mapping (doc_id, mention_id, docid): ids to
+    docids, and the ids of each docid; mentions without docid are clusters of their own, and not in the mapping."""
+    key = F.coalesce(F.concat(F.lit("d:"), "docid"), F.concat(F.lit("m:"), F.col("mention_id").cast("string")))
+    one = mapping.groupBy("doc_id", key.alias("k")).agg(F.array_sort(F.collect_list(F.col("mention_id").cast("string"))).alias("ids"))
+    groups = one.groupBy("doc_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("value"))
+    named = mapping.where("docid is not null").groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("mention_id").cast("string"), "docid"))))).alias("value"))
+    for rows, suffix in ((groups, "clusters"), (named, "mapping")):
+        write_files(rows.select(F.concat(F.col("doc_id").cast("string"), F.lit(f"_coref_{suffix}.json")).alias("file"), "value"), path, "file", "value")
+
+
 def truncated(output: Column, most: int = 2000) -> Column:
     """A raw output, or a note of its length where it is too long to keep."""
     return F.when(F.length(output) > most, F.concat(F.lit("[Output truncated - "), F.length(output).cast("string"), F.lit(" chars]"))).otherwise(output)
