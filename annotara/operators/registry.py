@@ -90,7 +90,7 @@ def as_json(profile_rows: DataFrame, values: DataFrame) -> DataFrame:
         return F.map_from_entries(F.transform(own, lambda x: F.struct(x["value"], x["first_seen_id"])))
 
     lists = values.groupBy("doc_id", "profile").agg(*[part(f).alias(n) for n, f in JSON_FIELDS.items()])
-    rows = profile_rows.join(lists, ["doc_id", "profile"], "left")
+    rows = profile_rows.select("doc_id", "profile", "doc_type", "docid", "first_seen_id").join(lists, ["doc_id", "profile"], "left")
     empty = F.create_map().cast("map<string,bigint>")
     one = F.struct("first_seen_id", "profile", F.struct("doc_type", F.lit(None).cast("string").alias("jurisdiction"), "docid", *[F.coalesce(F.col(n).cast("map<string,bigint>"), empty).alias(n) for n in JSON_FIELDS], "first_seen_id").alias("p"))
     listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(one), lambda a, b: F.when(a["first_seen_id"] < b["first_seen_id"], -1).when(a["first_seen_id"] > b["first_seen_id"], 1).when(a["profile"] < b["profile"], -1).when(a["profile"] > b["profile"], 1).otherwise(0)).alias("x"))

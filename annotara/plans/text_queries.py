@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as T
 from ..operators import assistants, extraction, output
+from ..sources.staging import shared_dir
 from ..streaming import rates
 from . import fixtures as X
 from .oracles import LINES, MENTIONS
@@ -136,20 +137,22 @@ def generated_echo(spark, d):
 SQL["generated_echo"] = "SELECT item_id, '<start>' || text || '<end>' AS output FROM benchmark"
 
 
-def _streamed(spark, d, name, change, mode):
-    """A bounded stream over the events, run to its end, its last rows per key kept in memory tables."""
-    from pyspark.sql.types import StructType
+def _streamed(spark, d, change, mode, table="events"):
+    """A bounded stream over a table, run to its end; the last result and the checkpoint are in the shared folder."""
+    out = shared_dir(spark, "stream")
+    stream = spark.readStream.schema(X.table(spark, d, table).schema).option("pathGlobFilter", f"{table}.parquet").parquet(d)
+    changed = change(stream)
 
-    schema: StructType = X.table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    q = change(stream).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    def keep(rows, _):
+        rows.write.mode("overwrite").parquet(f"{out}/result")
+
+    changed.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(changed.schema).parquet(f"{out}/result")
 
 
 @query
 def stream_rolling_rate(spark, d):
-    out = _streamed(spark, d, "annotara_rates", rates.rolling_rate, "complete")
+    out = _streamed(spark, d, rates.rolling_rate, "complete")
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "mean_value")
 
 

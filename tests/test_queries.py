@@ -4,12 +4,12 @@ import os
 
 import pytest
 
-from annotara.plans import annotated, catalogue, oracles, text_queries
+from annotara.plans import annotated, catalogue, more, oracles, text_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = catalogue.FOUND | text_queries.FOUND | annotated.FOUND
-SQL = oracles.SQL | text_queries.SQL | annotated.SQL
+QUERIES = catalogue.FOUND | text_queries.FOUND | annotated.FOUND | more.FOUND
+SQL = oracles.SQL | text_queries.SQL | annotated.SQL | more.SQL
 
 
 @pytest.fixture(scope="module")
