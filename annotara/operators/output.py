@@ -4,6 +4,7 @@ tokens and trees, and the Arrow functions that apply them to columns."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 
 import numpy as np
@@ -177,6 +178,14 @@ def merged(original: list[str], derived: list[str], protected: Callable[[str], b
     def same(a: str, b: str) -> bool:
         return a == b or not (a.strip() or b.strip())
 
+    places: dict[str, list[int]] = {}  # of original's tokens, white space as one
+    words: list[str | None] = [None] * (len(derived) + 1)  # derived's first token from here that is no tag
+    if opening:
+        for k, t in enumerate(original):
+            places.setdefault(t if t.strip() else "", []).append(k)
+        for k in range(len(derived) - 1, -1, -1):
+            words[k] = words[k + 1] if derived[k].startswith("<") and derived[k].endswith(">") else derived[k]
+
     out: list[str] = []
     i = j = 0
     while i < len(original) and j < len(derived):
@@ -186,8 +195,9 @@ def merged(original: list[str], derived: list[str], protected: Callable[[str], b
             i, j = i + 1, j + 1
         elif protected(t):
             if opening and opening(t):
-                word = next((d for d in derived[j + 1 :] if not (d.startswith("<") and d.endswith(">"))), None)
-                at = next((k for k in range(i, len(original)) if same(original[k], word)), i) if word is not None else i
+                own = places.get(word if word.strip() else "", []) if (word := words[j + 1]) is not None else []
+                nearest = bisect_left(own, i)
+                at = own[nearest] if nearest < len(own) else i
                 out += original[i:at]
                 i = at
             out.append(t)

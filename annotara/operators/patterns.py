@@ -12,7 +12,8 @@ from ..sources.staging import stored
 MONTHS = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
 PLACES = "London|Toronto|Ottawa|Montreal|Montréal|Vancouver|New\\s+York|Chicago|Oxford|Cambridge|Totonto"
 
-#: The rewrites of each part, in order.  (?U) makes \b and \w see accents.
+#: The rewrites of each part, in order.  All are applied with (?U), so that classes, word ends and
+#: cases of letters are Unicode's.
 FRAGMENT = [
     (r"\bsections?\b|\bss\.", "SECTION"), (r"s\.", "SECTION"), (r"\bsubsections?\b", "SUBSECTION"), (r"\bparagraphs?\b|\bpara\.", "PARA"),
     (r"\bsubparagraphs?\b", "SUBPARA"), (r"\barticles?\b|\barts?\.", "ARTICLE"), (r"\brules?\b", "RULE"), (r"\bparts?\b", "PART"),
@@ -85,7 +86,7 @@ def _split(text: Column) -> Column:
 
 def rewritten(text: Column, rules: list[tuple[str, str]]) -> Column:
     for pattern, new in rules:
-        text = F.regexp_replace(text, F.lit(pattern if pattern.startswith("(?i)") and not any(x in pattern for x in (r"\w", r"\b")) else "(?U)" + pattern), F.lit(new))
+        text = F.regexp_replace(text, F.lit("(?U)" + pattern), F.lit(new))
     return text
 
 

@@ -31,7 +31,7 @@ def gold_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir).withColumn("k", key).withColumn("h", hash8(F.col("k")))
     uri = F.when(F.col("h") % 8 > 2, F.lit(None)).when(F.col("h") % 11 == 0, F.lit("none")).otherwise(F.concat(F.lit("https://ex.org/"), (F.col("h") % 50).cast("string")))
     return rows.select(
-        "doc_id", "seq", _label(F.col("h")).alias("labelname"), F.substring("norm", 1, 60).alias("text"), F.lower(F.substring("norm", 1, 200)).alias("context"),
+        "doc_id", "seq", _label(F.col("h")).alias("labelname"), F.col("norm").alias("text"), F.lower("norm").alias("context"),
         F.concat(F.lit("D"), (F.floor(F.col("h") / 8) % 20).cast("string")).alias("docid"), uri.alias("uri"), F.concat(F.lit("t"), (F.col("h") % 3).cast("string")).alias("titletype"), "h", "k",
     )
 
@@ -50,10 +50,11 @@ def system_spans(spark: SparkSession, sf_dir: str, salt: str = "s") -> DataFrame
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as mentions: the first letter or digit names the entity, the next words are values."""
+    """Conversation turns as mentions: the first letter or digit names the entity, the other words are values: the
+    second, the third, and all further ones together."""
     words = bm25_tokens(F.col("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", words.alias("w")).where(F.size("w") > 0)
-    return rows.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("mention_id"), F.substring(F.col("w")[0], 1, 1).alias("docid"), F.col("role").alias("doc_type"), F.get("w", F.lit(1)).alias("title"), F.get("w", F.lit(2)).alias("citation"), F.get("w", F.lit(3)).alias("fragment"))
+    return rows.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("mention_id"), F.substring(F.col("w")[0], 1, 1).alias("docid"), F.col("role").alias("doc_type"), F.get("w", F.lit(1)).alias("title"), F.get("w", F.lit(2)).alias("citation"), F.when(F.size("w") > 3, F.array_join(F.slice("w", 4, F.size("w")), " ")).alias("fragment"))
 
 
 def coref(spark: SparkSession, sf_dir: str, of: int = 10, drop: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -67,7 +68,7 @@ def coref(spark: SparkSession, sf_dir: str, of: int = 10, drop: bool = True) ->
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), F.upper("lang").alias("doctype"), "text", F.substring("text", 1, 30).alias("title"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_idx"), F.upper("lang").alias("doctype"), "text", squeezed(F.split("text", "\n")[0]).alias("title"))
 
 
 def pool_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from . import drivers
 from . import fixtures as X
 from .oracles import LINES, MENTIONS, NUMBERED, PROFILES, COS, frequencies, ratio, side, system, vectors
 from .oracles import SQL as SQL_OF
+from .oracles import coref as coref_sql
 from .oracles import counts as counts_sql
 from .oracles import finalised as finalised_sql
 
@@ -352,11 +353,25 @@ def _f1(metric: str, rows: str) -> str:
     return f"{metric}_u AS (SELECT {ratio('sum(p_num)', 'sum(p_den)')} AS p, {ratio('sum(r_num)', 'sum(r_den)')} AS r FROM {rows}), {metric}_f AS (SELECT round({ratio('2 * p * r', 'p + r')}, 6) AS f1 FROM {metric}_u)"
 
 
-_CEAFE = SQL_OF["coref_ceafe"].split("\nu AS (")[0].rstrip(",").replace("tab AS (SELECT doc_id, gold, system, count(*) AS n FROM pair GROUP BY ALL)", f"tab AS (SELECT doc_id, gold, system, count(*) AS n FROM pair GROUP BY ALL), {side('rec', 'gold', 'system')}, {side('pre', 'system', 'gold')}")
-SQL["coref_conll_small"] = f"""{_CEAFE}, {', '.join(_f1(m, f"(SELECT pre.{m}_num AS p_num, pre.{m}_den AS p_den, rec.{m}_num AS r_num, rec.{m}_den AS r_den FROM pre JOIN rec USING (doc_id))") for m in ('muc', 'b3', 'lea'))}, {_f1('ceafe', 't')}
+def _assigned(of: str, drop: bool) -> str:
+    """The SQL of coref_ceafe over other clusters, up to its totals per document, with the sides of the link metrics;
+    mentions that a side lacks are clusters of their own."""
+    pairs = "tab AS (SELECT doc_id, coalesce(gold::VARCHAR, 'only:' || mention_id) AS gold, coalesce(system::VARCHAR, 'only:' || mention_id) AS system, count(*) AS n FROM pair GROUP BY ALL)"
+    sql = SQL_OF["coref_ceafe"].replace(coref_sql("6", False), coref_sql(of, drop))
+    return sql.replace("tab AS (SELECT doc_id, gold, system, count(*) AS n FROM pair GROUP BY ALL)", f"{pairs}, {side('rec', 'gold', 'system')}, {side('pre', 'system', 'gold')}")
+
+
+def _conll(of: str, drop: bool) -> str:
+    head = _assigned(of, drop).split("\nu AS (")[0].rstrip(",")
+    links = ", ".join(_f1(m, f"(SELECT pre.{m}_num AS p_num, pre.{m}_den AS p_den, rec.{m}_num AS r_num, rec.{m}_den AS r_den FROM pre JOIN rec USING (doc_id))") for m in ("muc", "b3", "lea"))
+    return f"""{head}, {links}, {_f1('ceafe', 't')}
 SELECT muc_f.f1 AS muc_f1, b3_f.f1 AS b3_f1, ceafe_f.f1 AS ceafe_f1, lea_f.f1 AS lea_f1, round((muc_f.f1 + b3_f.f1 + ceafe_f.f1) / 3, 6) AS conll_f1 FROM muc_f, b3_f, ceafe_f, lea_f"""
 
 
+SQL["coref_conll_small"] = _conll("6", False)
+SQL["coref_conll"] = _conll("10", True)
+SQL["coref_ceafe_full"] = _assigned("10", True)
+
 # -- patterns
 
 

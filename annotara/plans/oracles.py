@@ -23,7 +23,7 @@ def prf(tp: str, gold: str, system: str) -> str:
 # -- retrieval
 
 POOL = r"""
-pool AS (SELECT doc_id AS row_idx, upper(lang) AS doctype, text, substr(text, 1, 30) AS title FROM documents),
+pool AS (SELECT doc_id AS row_idx, upper(lang) AS doctype, text, trim(regexp_replace(string_split(text, chr(10))[1], '[\x20\x09-\x0D]+', ' ', 'g')) AS title FROM documents),
 tok AS (SELECT row_idx, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM pool),
 tf AS (SELECT term, row_idx, count(*) AS tf FROM tok GROUP BY ALL),
 dl AS (SELECT row_idx, sum(tf) AS dl FROM tf GROUP BY 1),
@@ -93,7 +93,7 @@ SELECT lower(trim(regexp_replace(regexp_replace(t, '^</?|/?>$', '', 'g'), '\s+[^
 SQL["whitespace_normalise"] = rf"SELECT page_id, md5(array_to_string(list_transform({CLEAN}, lambda t: CASE WHEN regexp_matches(t, '^\s\s+$') THEN ' ' ELSE t END), '')) AS digest FROM pages"
 SQL["upper_context_window"] = rf"""
 WITH t AS (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS t FROM documents),
-p AS (SELECT doc_id, t, least(len(t), doc_id % 97 + 2) AS pos FROM t)
+p AS (SELECT doc_id, t, doc_id * 7919 % greatest(len(t), 1) + 1 AS pos FROM t)
 SELECT doc_id, array_to_string(t[greatest(pos - 20, 1):pos - 1], '') AS context FROM p"""
 SQL["word_counts_by_split"] = r"SELECT source AS split, count(*) AS documents, sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')))::BIGINT AS words FROM documents GROUP BY 1"
 
@@ -106,7 +106,7 @@ raw_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, genera
 lines AS (SELECT doc_id, seq, {SQUEEZED.format('line')} AS norm FROM raw_lines WHERE {SQUEEZED.format('line')} <> '')"""
 GOLD = f"""{LINES},
 hashed AS (SELECT *, doc_id || ':' || seq AS k, {h("doc_id || ':' || seq")} AS h FROM lines),
-gold AS (SELECT doc_id, seq, {LABELS}[(h % 8 + 1)::INT] AS labelname, substr(norm, 1, 60) AS text, lower(substr(norm, 1, 200)) AS context,
+gold AS (SELECT doc_id, seq, {LABELS}[(h % 8 + 1)::INT] AS labelname, norm AS text, lower(norm) AS context,
   'D' || (h // 8 % 20) AS docid, CASE WHEN h % 8 > 2 THEN NULL WHEN h % 11 = 0 THEN 'none' ELSE 'https://ex.org/' || (h % 50) END AS uri, 't' || (h % 3) AS titletype, h, k FROM hashed)"""
 
 
@@ -217,7 +217,7 @@ SQL["range_slice"] = "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number(
 
 MENTIONS = """
 w AS (SELECT conv_id AS doc_id, turn AS mention_id, role AS doc_type, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations),
-mentions AS (SELECT doc_id, mention_id, substr(w[1], 1, 1) AS docid, doc_type, w[2] AS title, w[3] AS citation, w[4] AS fragment FROM w WHERE len(w) > 0)"""
+mentions AS (SELECT doc_id, mention_id, substr(w[1], 1, 1) AS docid, doc_type, w[2] AS title, w[3] AS citation, CASE WHEN len(w) > 3 THEN array_to_string(w[4:], ' ') END AS fragment FROM w WHERE len(w) > 0)"""
 VALUES = f"""{MENTIONS},
 v AS (SELECT doc_id, docid, mention_id, 'title' AS field, title AS value FROM mentions UNION ALL SELECT doc_id, docid, mention_id, 'citation', citation FROM mentions
   UNION ALL SELECT doc_id, docid, mention_id, 'fragment', fragment FROM mentions),

@@ -39,7 +39,17 @@ def leaf_blocks(spark, d):
 @query
 def verify_outputs(spark, d):
     rows = _labelled(spark, d).select("page_id", output.check_column("html", "processed").alias("c"))
-    return rows.select("page_id", "c.passed", "c.error_type")
+    return rows.select("page_id", "c.passed", F.coalesce("c.error_type", F.lit("none")).alias("error_type"))
+
+
+PROCESSED = r"""x AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '<b>', '<auto_label labelname="decision">', 'g'), '<(br|/p)>', '</auto_label><\1>', 'g') AS labelled FROM pages),
+p AS (SELECT page_id, html, CASE WHEN page_id % 5 = 0 THEN regexp_replace(labelled, '\bthe\b', 'teh', 'g') ELSE labelled END AS processed FROM x)"""
+SQL["verify_outputs"] = rf"""WITH {PROCESSED},
+t AS (SELECT page_id, unnest(regexp_extract_all(processed, '</?auto_label[^>]*>')) AS t, generate_subscripts(regexp_extract_all(processed, '</?auto_label[^>]*>'), 1) AS i FROM p),
+s AS (SELECT page_id, i, sum(CASE WHEN t LIKE '</%' THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM t),
+b AS (SELECT page_id, min(depth) < 0 OR arg_max(depth, i) <> 0 AS broken FROM s GROUP BY 1),
+e AS (SELECT p.page_id, CASE WHEN regexp_replace(processed, '<[^>]*>', '', 'g') <> regexp_replace(html, '<[^>]*>', '', 'g') THEN 'hallucination' WHEN coalesce(broken, false) THEN 'consistency' ELSE 'none' END AS error_type FROM p LEFT JOIN b USING (page_id))
+SELECT page_id, error_type = 'none' AS passed, error_type FROM e"""
 
 
 @query
@@ -56,25 +66,31 @@ SQL["align_protected"] = f"WITH {LINES} SELECT doc_id, seq, md5(norm) AS text, t
 
 @query
 def merge_tokens(spark, d):
-    rows = _labelled(spark, d)
-    cleaned = F.array_join(T.clean_tokens(F.col("processed"), "/?auto_label"), "")
-    merged = rows.select("page_id", "html", output.merge_column("html", cleaned).alias("merged"))
-    return merged.select("page_id", F.md5("merged").alias("digest"), F.regexp_count("merged", F.lit("<auto_label")).cast("long").alias("labels"))
+    rows = _labelled(spark, d).where("page_id % 5 <> 0")  # the others have another text
+    merged = rows.select("page_id", "html", output.merge_column("html", "processed").alias("merged"))
+    return merged.select("page_id", F.md5(T.without_auto_labels(F.col("merged"))).alias("rest"), F.regexp_count("merged", F.lit("</?auto_label")).cast("long").alias("tags"))
+
+
+SQL["merge_tokens"] = rf"WITH {PROCESSED} SELECT page_id, md5(html) AS rest, len(regexp_extract_all(processed, '</?auto_label')) AS tags FROM p WHERE page_id % 5 <> 0"
 
 
 @query
 def bracket_fix(spark, d):
     fixed = output.bracket_column(F.col("processed"))
-    return _labelled(spark, d).select("page_id", F.md5(fixed).alias("digest"), F.length(T.without_tags(fixed)).cast("long").alias("n_chars"))
+    return _labelled(spark, d).select("page_id", F.md5(T.without_tags(fixed)).alias("text"), F.regexp_count(fixed, F.lit("</?auto_label")).cast("long").alias("tags"))
+
+
+SQL["bracket_fix"] = rf"WITH {PROCESSED} SELECT page_id, md5(regexp_replace(processed, '<[^>]*>', '', 'g')) AS text, len(regexp_extract_all(processed, '</?auto_label')) AS tags FROM p"
 
 
 @query
 def fix_labels(spark, d):
     rows = X.table(spark, d, "pages").select("page_id", F.concat(F.lit('<auto_label labelname="title"><i>'), T.squeezed(T.without_tags(F.col("html"))), F.lit("</i></auto_label>")).alias("h"))
-    return rows.select("page_id", F.substring(output.hoist_column(F.col("h")), 1, 33).alias("head"))
+    return rows.select("page_id", output.hoist_column(F.col("h")).alias("html"))
 
 
-SQL["fix_labels"] = """SELECT page_id, '<i><auto_label labelname="title">' AS head FROM pages"""
+PLAIN = r"trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))"
+SQL["fix_labels"] = f"""SELECT page_id, '<i><auto_label labelname="title">' || {PLAIN} || '</auto_label></i>' AS html FROM pages"""
 
 
 @query
