@@ -64,19 +64,29 @@ def macro_f1(counts: DataFrame) -> DataFrame:
     return docs.agg(F.round(F.avg(ratio(2 * p * r, p + r)), 6).alias("macro_f1"), F.count(F.lit(1)).alias("documents"))
 
 
+def anchoring_counts(human: DataFrame, assisted: DataFrame, machine: DataFrame) -> DataFrame:
+    """doc_id, labelname, extra (assisted spans that humans alone didn't make), anchored (of these as many as the
+    machine has of its own): per key the differences and minima of counts, in one pass over all three."""
+    sides = {"human": human, "assisted": assisted, "machine": machine}
+    rows = None
+    for name, own in sides.items():
+        one = own.select(*KEY, *[F.lit(int(s == name)).alias(s) for s in sides])
+        rows = one if rows is None else rows.unionByName(one)
+    keys = rows.groupBy(*KEY).agg(*[F.sum(s).alias(s) for s in sides]).withColumn("extra", F.greatest(F.col("assisted") - F.col("human"), F.lit(0)))
+    return keys.where("extra > 0").select("doc_id", "labelname", "extra", F.least("extra", "machine").alias("anchored"))
+
+
 def anchoring(human: DataFrame, assisted: DataFrame, machine: DataFrame) -> DataFrame:
     """Per label: assisted spans that humans alone didn't make, and how many of them are the machine's own."""
-    extra = unmatched(assisted, human)
-    counts = match_counts(machine, extra).select("labelname", F.col("tp").alias("anchored"), F.col("n_system").alias("extra"))
-    total = counts.groupBy("labelname").agg(F.sum("anchored").alias("anchored"), F.sum("extra").alias("extra"))
-    return total.where("extra > 0").select("labelname", "anchored", "extra", F.round(ratio(F.col("anchored"), F.col("extra")), 6).alias("rate"))
+    total = anchoring_counts(human, assisted, machine).groupBy("labelname").agg(F.sum("anchored").alias("anchored"), F.sum("extra").alias("extra"))
+    return total.select("labelname", "anchored", "extra", F.round(ratio(F.col("anchored"), F.col("extra")), 6).alias("rate"))
 
 
 def anchoring_rollup(human: DataFrame, assisted: DataFrame, machine: DataFrame) -> DataFrame:
     """anchoring per document, per label and over all; absent keys are 'all'."""
-    counts = match_counts(machine, unmatched(assisted, human)).select(F.col("doc_id").cast("string").alias("doc"), "labelname", F.col("tp").alias("anchored"), F.col("n_system").alias("extra"))
-    sets = counts.groupingSets([[], ["doc"], ["labelname"]], "doc", "labelname").agg(F.sum("anchored").alias("anchored"), F.sum("extra").alias("extra")).where("extra > 0")
-    return sets.select(F.coalesce("doc", F.lit("all")).alias("doc"), F.coalesce("labelname", F.lit("all")).alias("labelname"), "anchored", "extra", F.round(ratio(F.col("anchored"), F.col("extra")), 6).alias("rate"))
+    counts = anchoring_counts(human, assisted, machine).withColumn("doc", F.col("doc_id").cast("string"))
+    sets = counts.groupingSets([[], ["doc"], ["labelname"]], "doc", "labelname").agg(F.sum("anchored").alias("anchored"), F.sum("extra").alias("extra"))
+    return sets.where("extra > 0").select(F.coalesce("doc", F.lit("all")).alias("doc"), F.coalesce("labelname", F.lit("all")).alias("labelname"), "anchored", "extra", F.round(ratio(F.col("anchored"), F.col("extra")), 6).alias("rate"))
 
 
 def anchoring_by_id(human: DataFrame, assisted: DataFrame, machine: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import hash8, squeezed
 from ..operators.retrieval import bm25_tokens
+from ..sources.staging import spread
 
 LABELS = ("decision", "legislation", "secondary sources", "title", "citation", "fragment", "source", "authors")
 FIELDS = {"title": "title", "citation": "citation", "fragment": "fragment"}
@@ -22,7 +23,7 @@ def _label(n: Column) -> Column:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, seq, norm: the squeezed lines that aren't empty."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line"))
     return rows.select("doc_id", F.col("seq").cast("long").alias("seq"), squeezed(F.col("line")).alias("norm")).where("norm <> ''")
 
 
