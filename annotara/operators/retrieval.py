@@ -59,7 +59,7 @@ def top_k(scores: DataFrame, qkey: str, key: str, k: int) -> DataFrame:
 
 
 #: A term that more than this share of the documents hold is common; so many times k documents set the goal.
-COMMON, DEEP, SLACK = 0.05, 8, 1e-5
+COMMON, DEEP, SLACK = 0.2, 8, 1e-5
 
 
 def bm25_scores(tf: DataFrame, stats: DataFrame, vocabulary: DataFrame, terms: DataFrame, k: int, qkey: str, key: str, kind: str | None = None) -> DataFrame:
