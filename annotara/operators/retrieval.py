@@ -223,6 +223,14 @@ def mapping(top: DataFrame, pool: DataFrame, qkey: str, key: str = "row_idx", ti
     return named.groupBy(qkey).agg(F.min_by(key, "rank").alias("candidate_id"), F.min_by("score", "rank").alias("score"), F.min_by(title, "rank").alias("candidate_title"), ranked.alias("topk"))
 
 
+def resolutions(top: DataFrame, pool: DataFrame, queries: DataFrame, qkey: str, key: str = "row_idx", title: str = "title", uri: str = "uri", qtext: str = "qtext") -> DataFrame:
+    """Per query its text, the best candidate with its link, and the ranked candidates as structs."""
+    named = top.join(pool.select(key, title, uri), key)
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(uri).alias("uri"), "score", F.col(title).alias("candidate_title")))), lambda x: F.struct(x["uri"].alias("uri"), x["score"].alias("score"), x["candidate_title"].alias("candidate_title")))
+    best = named.groupBy(qkey).agg(F.min_by(uri, "rank").alias("uri"), F.min_by("score", "rank").alias("score"), F.min_by(key, "rank").alias("candidate_id"), F.min_by(title, "rank").alias("candidate_title"), ranked.alias("topk"))
+    return best.join(queries.select(qkey, F.col(qtext).alias("query_text")), qkey)
+
+
 def candidate_text(metadata: Column) -> Column:
     """docType | docTitle | completions of one candidate's JSON; completions are JSON within JSON."""
     c = F.from_json(metadata, "struct<docType:string,docTitle:string,autoCompletions:string>")

@@ -11,7 +11,7 @@ from ..sources.staging import shared_dir
 from ..streaming import rates
 from . import drivers
 from . import fixtures as X
-from .oracles import LINES, MENTIONS, NUMBERED, PROFILES, COS, frequencies, ratio, side, system, vectors
+from .oracles import COS, LINES, MENTIONS, NUMBERED, POOL, PROFILES, TOP, frequencies, ratio, side, system, vectors
 from .oracles import SQL as SQL_OF
 from .oracles import coref as coref_sql
 from .oracles import counts as counts_sql
@@ -157,6 +157,46 @@ SQL["cluster_files"] = f"""WITH {MENTIONS}, k AS (SELECT doc_id, mention_id, CAS
 SELECT doc_id, string_agg(mention_id::VARCHAR, ',' ORDER BY mention_id::VARCHAR) AS members FROM k GROUP BY doc_id, c"""
 
 
+@query
+def resolution_files(spark, d):
+    """Best and ranked candidates with their links, written as one JSON file per group of queries and read again."""
+    path = shared_dir(spark, "resolutions")
+    path = path if "://" in path else f"file://{path}"
+    pool, q = X.pool(spark, d).withColumn("uri", F.concat(F.lit("https://ex.org/"), "row_idx")), X.pool_queries(spark, d)
+    found = retrieval.resolutions(retrieval.bm25_topk(pool, q, 3, "item_id"), pool, q, "item_id")
+    sinks.write_resolutions(found.select((F.col("item_id") % 7).alias("doc_id"), F.concat(F.lit("D "), F.col("item_id")).alias("docid"), "uri", "score", "candidate_id", "candidate_title", "query_text", "topk"), path)
+    rows = sinks.read_resolutions(spark, path + "/*_resolution.json")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "docid", "uri", "score", "candidate_id", "candidate_title", F.md5("query_text").alias("query_text"), F.array_join(F.transform("topk", lambda x: x["uri"]), " ").alias("topk"))
+
+
+SQL["resolution_files"] = f"""WITH {POOL}, {TOP}, t AS (SELECT *, 'https://ex.org/' || row_idx AS uri FROM top JOIN pool USING (row_idx))
+SELECT item_id % 7 AS doc_id, 'D ' || item_id AS docid, arg_min(uri, rank) AS uri, arg_min(score, rank) AS score, arg_min(row_idx, rank) AS candidate_id, arg_min(title, rank) AS candidate_title, md5(any_value(benchmark.text)) AS query_text, string_agg(uri, ' ' ORDER BY rank) AS topk
+FROM t JOIN benchmark USING (item_id) GROUP BY item_id"""
+
+
+@query
+def pairs_in_folders(spark, d):
+    """System files each in a folder of its stem's name, of one task."""
+    pages = X.table(spark, d, "pages").select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("stem"))
+    gold = pages.select("stem", F.concat(F.lit("g"), "stem").alias("html"))
+    name = F.concat("stem", F.when(F.col("page_id") % 3 == 0, "_coref").otherwise("_resolution"))
+    system = pages.select(name.alias("stem"), F.concat(F.lit("out/"), "stem", F.lit("/"), name, F.lit(".html")).alias("path"), F.concat(F.lit("s"), "stem").alias("html"))
+    pairs, alone = readers.paired(gold, system, "coref", folders=True)
+    return pairs.select("stem", "gold", "system").unionByName(alone.select("stem", F.lit("").alias("gold"), F.lit("").alias("system")))
+
+
+SQL["pairs_in_folders"] = "SELECT 'p' || page_id AS stem, CASE WHEN page_id % 3 = 0 THEN 'gp' || page_id ELSE '' END AS gold, CASE WHEN page_id % 3 = 0 THEN 'sp' || page_id ELSE '' END AS system FROM pages"
+
+
+@query
+def unlisted_stems(spark, d):
+    pages = X.table(spark, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("stem"), "page_id")
+    return readers.unlisted(pages, pages.where("page_id % 2 = 0"), pages.where("page_id % 3 = 0"))
+
+
+SQL["unlisted_stems"] = "SELECT 'p' || page_id AS stem FROM pages WHERE page_id % 2 <> 0 AND page_id % 3 <> 0"
+
+
 @query
 def html_files(spark, d):
     """Pages written as files, some in Latin-1, and found again by split and stem."""

@@ -83,6 +83,7 @@ def numbered(rows: DataFrame, order: str, name: str = "n") -> DataFrame:
     within each file, and moved by the counts of the files before it, a row each."""
     parts = stored(rows.repartitionByRange(order).sortWithinPartitions(order), "numbered")
     placed = parts.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    placed = placed.withColumn("__file", F.regexp_extract("__file", r"part-(\d+)", 1).cast("long"))
     sizes = placed.groupBy("__file").agg(F.count(F.lit(1)).alias("__size"))
     before = sizes.select("__file", (F.sum("__size").over(Window.orderBy("__file")) - F.col("__size")).alias("__before"))
     return placed.join(F.broadcast(before), "__file").withColumn(name, F.col("__before") + F.col("__row") + 1).drop("__file", "__row", "__before")
@@ -119,14 +120,29 @@ def cluster_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("stem", "cluster", F.explode("m").alias("mention_id"))
 
 
-def paired(gold: DataFrame, system: DataFrame, suffixes: str = r"_(?:[0-3]|final|processed|coref|resolution)$") -> tuple[DataFrame, DataFrame]:
-    """Pairs by stem (one system file each, the last by path), and the gold stems without partner."""
-    own = system.withColumn("stem", F.regexp_replace("stem", suffixes, ""))
+#: What each task adds to a stem, and all of them.
+SUFFIXES = {"extraction": r"_(?:[0-3]|final|processed)$", "coref": r"_coref(?:_clusters|_mapping)?$", "resolution": r"_resolution$", None: r"_(?:[0-3]|final|processed|coref|resolution)$"}
+
+
+def paired(gold: DataFrame, system: DataFrame, task: str | None = None, folders: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Pairs by stem (one system file each, the last by path), and the gold stems without partner.  System files
+    lie flat, or each in a folder of its stem's name; their names may end in a suffix of the task."""
+    stem = F.element_at(F.split("path", "/"), -2) if folders else F.regexp_replace("stem", SUFFIXES[task], "")
+    own = system.where(F.col("stem").rlike(SUFFIXES[task])) if folders else system
+    own = own.withColumn("stem", stem)
     best = own.withColumn("__n", F.row_number().over(Window.partitionBy("stem").orderBy(F.col("path").desc()))).where("__n = 1")
     pairs = gold.select("stem", F.col("html").alias("gold")).join(best.select("stem", F.col("html").alias("system")), "stem")
     return pairs, gold.select("stem").join(best, "stem", "left_anti")
 
 
+def unlisted(docs: DataFrame, *others: DataFrame) -> DataFrame:
+    """Stems that none of the other listings has."""
+    left = docs.select("stem").distinct()
+    for o in others:
+        left = left.join(o.select("stem").distinct(), "stem", "left_anti")
+    return left
+
+
 def split_of(folder: Column) -> Column:
     """The split that a folder's name begins with, null for others."""
     first = F.split(folder, "_")[0]

@@ -62,6 +62,21 @@ def write_links(mapping: DataFrame, path: str) -> None:
         write_files(rows.select(F.concat(F.col("doc_id").cast("string"), F.lit(f"_coref_{suffix}.json")).alias("file"), "value"), path, "file", "value")
 
 
+def write_resolutions(found: DataFrame, path: str) -> None:
+    """<doc_id>_resolution.json of each document: docid to uri, score, candidate_id, candidate_title, query_text and
+    the ranked candidates.  found: doc_id, docid, these, and topk as array<struct<uri,score,candidate_title>>."""
+    one = F.struct("uri", "score", "candidate_id", "candidate_title", "query_text", "topk")
+    rows = found.groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("docid", one.alias("v"))), lambda a, b: F.when(a["docid"] < b["docid"], -1).when(a["docid"] > b["docid"], 1).otherwise(0)))).alias("value"))
+    write_files(rows.select(F.concat(F.col("doc_id").cast("string"), F.lit("_resolution.json")).alias("file"), "value"), path, "file", "value")
+
+
+def read_resolutions(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, docid, uri, score, candidate_id, candidate_title, query_text, topk of files as write_resolutions has them."""
+    kind = "struct<uri:string,score:double,candidate_id:bigint,candidate_title:string,query_text:string,topk:array<struct<uri:string,score:double,candidate_title:string>>>"
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("_metadata.file_name", r"_resolution\.json$", "").alias("doc_id"), F.explode(F.from_json("value", f"map<string,{kind}>")).alias("docid", "v"))
+    return text.select("doc_id", "docid", "v.*")
+
+
 def truncated(output: Column, most: int = 2000) -> Column:
     """A raw output, or a note of its length where it is too long to keep."""
     return F.when(F.length(output) > most, F.concat(F.lit("[Output truncated - "), F.length(output).cast("string"), F.lit(" chars]"))).otherwise(output)
