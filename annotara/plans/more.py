@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import tokens as T
 from ..operators import chunking, coref, metadata, patterns, registry, retrieval, spans, stats
 from ..sources import readers, sinks
-from ..sources.staging import shared_dir
+from ..sources.staging import qualified, shared_dir
 from ..streaming import rates
 from . import drivers
 from . import fixtures as X
@@ -146,8 +146,7 @@ SQL["alternative_urls"] = "SELECT page_id, CASE WHEN page_id % 3 = 2 THEN url EL
 @query
 def cluster_files(spark, d):
     """Clusters written as one JSON file per document and read again."""
-    path = shared_dir(spark, "clusters")
-    path = path if "://" in path else f"file://{path}"
+    path = qualified(spark, shared_dir(spark, "clusters"))
     sinks.write_links(X.mentions(spark, d).select("doc_id", "mention_id", F.when(F.col("mention_id") % 5 != 4, F.col("docid")).alias("docid")), path)
     rows = readers.cluster_files(spark, path + "/*_coref_clusters.json")
     return rows.groupBy(F.col("stem").cast("long").alias("doc_id"), "cluster").agg(F.array_join(F.array_sort(F.collect_list("mention_id")), ",").alias("members")).drop("cluster")
@@ -160,8 +159,7 @@ SELECT doc_id, string_agg(mention_id::VARCHAR, ',' ORDER BY mention_id::VARCHAR)
 @query
 def resolution_files(spark, d):
     """Best and ranked candidates with their links, written as one JSON file per group of queries and read again."""
-    path = shared_dir(spark, "resolutions")
-    path = path if "://" in path else f"file://{path}"
+    path = qualified(spark, shared_dir(spark, "resolutions"))
     pool, q = X.pool(spark, d).withColumn("uri", F.concat(F.lit("https://ex.org/"), "row_idx")), X.pool_queries(spark, d)
     found = retrieval.resolutions(retrieval.bm25_topk(pool, q, 3, "item_id"), pool, q, "item_id")
     sinks.write_resolutions(found.select((F.col("item_id") % 7).alias("doc_id"), F.concat(F.lit("D "), F.col("item_id")).alias("docid"), "uri", "score", "candidate_id", "candidate_title", "query_text", "topk"), path)
@@ -200,8 +198,7 @@ SQL["unlisted_stems"] = "SELECT 'p' || page_id AS stem FROM pages WHERE page_id
 @query
 def html_files(spark, d):
     """Pages written as files, some in Latin-1, and found again by split and stem."""
-    path = shared_dir(spark, "html")
-    path = path if "://" in path else f"file://{path}"
+    path = qualified(spark, shared_dir(spark, "html"))
     ascii_ = F.regexp_replace("html", r"[^\x00-\x7F]", "é")
     data = F.when(F.col("page_id") % 2 == 0, F.encode(ascii_, "ISO-8859-1")).otherwise(F.encode(ascii_, "UTF-8"))
     split = F.element_at(F.array(*map(F.lit, ("test", "train", "skip"))), (F.col("page_id") % 3 + 1).cast("int"))

@@ -27,6 +27,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/annotara/{name}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its scheme, file:///... where it is local."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = str(at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString())
+    return f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
