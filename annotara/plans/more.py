@@ -250,6 +250,17 @@ def history_files(spark, d):
 SQL["history_files"] = "SELECT item_id AS doc_id, 0::BIGINT AS chunk, CASE WHEN length(text) > 200 THEN '[Output truncated - ' || length(text) || ' chars]' ELSE text END AS raw_output FROM benchmark"
 
 
+@query
+def report_files(spark, d):
+    """A small result as one CSV file with header, read again."""
+    path = shared_dir(spark, "report")
+    sinks.write_report(X.table(spark, d, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), path)
+    return spark.read.option("header", "true").schema("lang string, source string, n long").csv(path)
+
+
+SQL["report_files"] = "SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL"
+
+
 @query
 def gold_system_pairs(spark, d):
     """Stems without their stage's suffix; of several files the last, and gold files without any."""
