@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["doc_id", "labelname", "text", "context"]
+#: The same, text and context by a digest: what is grouped, joined and shuffled.
+NARROW = ["doc_id", "labelname", "span_key"]
 PARENTS = ("decision", "legislation", "secondary sources")
 
 
@@ -23,27 +25,34 @@ def prf(tp: str = "tp", gold: str = "n_gold", system: str = "n_system") -> list[
     return [F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(ratio(2 * p * r, p + r), 6).alias("f1")]
 
 
+def narrowed(spans: DataFrame) -> DataFrame:
+    """Adds span_key, a digest of text and context (a null is a value of its own)."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("text", "context")]
+    return spans.withColumn("span_key", F.unhex(F.sha2(F.concat_ws("\x01", *parts), 256)))
+
+
 def match_counts(gold: DataFrame, system: DataFrame) -> DataFrame:
     """doc_id, labelname, tp, n_gold, n_system."""
-    both = gold.select(*KEY, F.lit(1).alias("g"), F.lit(0).alias("s")).unionByName(system.select(*KEY, F.lit(0).alias("g"), F.lit(1).alias("s")))
-    keys = both.groupBy(*KEY).agg(F.sum("g").alias("g"), F.sum("s").alias("s"))
+    both = narrowed(gold).select(*NARROW, F.lit(1).alias("g"), F.lit(0).alias("s")).unionByName(narrowed(system).select(*NARROW, F.lit(0).alias("g"), F.lit(1).alias("s")))
+    keys = both.groupBy(*NARROW).agg(F.sum("g").alias("g"), F.sum("s").alias("s"))
     return keys.groupBy("doc_id", "labelname").agg(F.sum(F.least("g", "s")).alias("tp"), F.sum("g").alias("n_gold"), F.sum("s").alias("n_system"))
 
 
-def numbered(spans: DataFrame, key: list[str] = KEY) -> DataFrame:
-    return spans.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("seq")))
+def numbered(spans: DataFrame) -> DataFrame:
+    """Adds span_key and nth, the number of a span among its equals."""
+    return narrowed(spans).withColumn("nth", F.row_number().over(Window.partitionBy(*NARROW).orderBy("seq")))
 
 
 def pairs(gold: DataFrame, system: DataFrame, fields: list[str]) -> DataFrame:
     """Matched pairs: KEY, seq of the gold span, and gold_<f>, system_<f> for each field."""
-    g = numbered(gold).select(*KEY, "nth", "seq", *[F.col(f).alias(f"gold_{f}") for f in fields])
-    s = numbered(system).select(*KEY, "nth", *[F.col(f).alias(f"system_{f}") for f in fields])
-    return g.join(s, [*KEY, "nth"]).drop("nth")
+    g = numbered(gold.select(*KEY, "seq", *[f for f in fields if f not in (*KEY, "seq")])).select(*KEY, "span_key", "nth", "seq", *[F.col(f).alias(f"gold_{f}") for f in fields])
+    s = numbered(system).select(*NARROW, "nth", *[F.col(f).alias(f"system_{f}") for f in fields])
+    return g.join(s, [*NARROW, "nth"]).drop("nth", "span_key")
 
 
 def unmatched(spans: DataFrame, others: DataFrame) -> DataFrame:
     """Spans without a partner among the others."""
-    return numbered(spans).join(numbered(others).select(*KEY, "nth"), [*KEY, "nth"], "left_anti").drop("nth")
+    return numbered(spans).join(numbered(others).select(*NARROW, "nth"), [*NARROW, "nth"], "left_anti").drop("nth", "span_key")
 
 
 def scores_by(counts: DataFrame, *keys: str) -> DataFrame:
@@ -70,9 +79,9 @@ def anchoring_counts(human: DataFrame, assisted: DataFrame, machine: DataFrame)
     sides = {"human": human, "assisted": assisted, "machine": machine}
     rows = None
     for name, own in sides.items():
-        one = own.select(*KEY, *[F.lit(int(s == name)).alias(s) for s in sides])
+        one = narrowed(own).select(*NARROW, *[F.lit(int(s == name)).alias(s) for s in sides])
         rows = one if rows is None else rows.unionByName(one)
-    keys = rows.groupBy(*KEY).agg(*[F.sum(s).alias(s) for s in sides]).withColumn("extra", F.greatest(F.col("assisted") - F.col("human"), F.lit(0)))
+    keys = rows.groupBy(*NARROW).agg(*[F.sum(s).alias(s) for s in sides]).withColumn("extra", F.greatest(F.col("assisted") - F.col("human"), F.lit(0)))
     return keys.where("extra > 0").select("doc_id", "labelname", "extra", F.least("extra", "machine").alias("anchored"))
 
 
@@ -132,9 +141,9 @@ def uri_outcomes(gold: DataFrame, system: DataFrame) -> DataFrame:
     link) or fn_missed_extraction (no partner); an unmatched system span with a real link is fp_spurious;
     gold spans without a real link are skipped_gold_none.
     """
-    g, s = numbered(gold), numbered(system).select(*KEY, "nth", F.col("uri").alias("system_uri"), F.lit(True).alias("has"))
+    g, s = numbered(gold.select(*KEY, "seq", "uri")).select(*NARROW, "nth", "uri"), numbered(system).select(*NARROW, "nth", F.col("uri").alias("system_uri"), F.lit(True).alias("has"))
     named = F.lower(F.trim("uri")), F.lower(F.trim("system_uri"))
-    of_gold = g.join(s, [*KEY, "nth"], "left").select(
+    of_gold = g.join(s, [*NARROW, "nth"], "left").select(
         "doc_id", "labelname",
         F.when(~real_uri(F.col("uri")), "skipped_gold_none").when(F.col("has").isNull(), "fn_missed_extraction").when(F.coalesce(F.trim("system_uri"), F.lit("")) == "", "fn_missing_sys_uri").when(named[0] == named[1], "tp").otherwise("fn_wrong").alias("outcome"),
     )
