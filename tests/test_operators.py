@@ -86,6 +86,13 @@ def test_unclosed_blocks_nest():
     assert htmltree.write(htmltree.parse('<p a="1">x &amp; <br>y</p><!-- c -->')) == '<p a="1">x &amp; <br/>y</p><!-- c -->'
 
 
+@pytest.mark.parametrize("text", ["a&ampp; b", "a&ampp b", "x &#38x", "&#zz; &#q; <b>d</b>", "R&D & &", "ends in &am", "\ue000 & \ue001 &lt", '<script>a&ampb && c</script>&copy'])
+def test_references_stay_as_they_are_written(text):
+    assert htmltree.write(htmltree.parse(text)) == text
+    assert output.hoisted(f'<auto_label labelname="title"><i>{text}</i></auto_label>') == f'<i><auto_label labelname="title">{text}</auto_label></i>'
+
+
+
 def brute_alignment(want, have, fixed):
     best = {}
 
