@@ -154,10 +154,17 @@ SQL["generated_echo"] = "SELECT item_id, '<start>' || text || '<end>' AS output
 
 
 def _streamed(spark, d, change, mode, table="events"):
-    """A bounded stream over a table, run to its end; the last result and the checkpoint are in the shared folder."""
+    """A bounded stream over a table, a file or a folder of files, run to its end; the last result and the checkpoint
+    are in the shared folder."""
     out = shared_dir(spark, "stream")
-    stream = spark.readStream.schema(X.table(spark, d, table).schema).option("pathGlobFilter", f"{table}.parquet").parquet(d)
+    reader = spark.readStream.schema(X.table(spark, d, table).schema)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{table}.parquet")
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        stream = reader.parquet(f"{d}/{table}.parquet")
+    else:  # a stream's source is a folder
+        stream = reader.option("pathGlobFilter", f"{table}.parquet").parquet(d)
     changed = change(stream)
+    spark.createDataFrame([], changed.schema).write.parquet(f"{out}/result")  # stays where no rows come
 
     def keep(rows, _):
         rows.write.mode("overwrite").parquet(f"{out}/result")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from annotara.functions import labels
 from annotara.functions import tokens as T
 from annotara.operators import assistants, encoders, extraction, output, registry, retrieval, spans
-from annotara.plans import drivers
+from annotara.plans import drivers, more
 from annotara.sources import readers, sinks, staging
 from annotara.streaming import rates
 
@@ -226,6 +226,14 @@ def test_sessions_of_a_table(spark):
     assert sorted((r.n, str(r.start)) for r in rates.sessions(rows).collect()) == [(1, "2024-01-01 02:00:00"), (2, "2024-01-01 00:00:00")]
 
 
+@pytest.mark.parametrize("n", [0, 40])
+def test_streams_read_tables_of_many_files(spark, tmp_path, n):
+    rows = spark.createDataFrame([(i % 4, i, "ab"[i % 2]) for i in range(n)], "conv_id long, turn long, role string")
+    rows.repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.doc_id, r.docid): (r.first_seen_id, r.n_mentions) for r in more.FOUND["stream_growing_profiles"](spark, str(tmp_path)).collect()}
+    assert got == {(i, "ab"[i % 2]): (i, 10) for i in range(4 if n else 0)}
+
+
 def test_registries_in_both_forms(spark):
     older = {"profiles": [{"doc_type": "decision", "docid": "D", "alternative_titles": ["T1", "T2"], "citations": {"c": "3", "d": None}, "fragments_mentioned": {}, "authors": None, "first_seen_id": "3"}]}
     p, v = registry.from_json(spark.createDataFrame([("x", json.dumps(older))], "doc_id string, registry string"))
