@@ -163,8 +163,10 @@ def uri_scores(outcomes: DataFrame, *keys: str) -> DataFrame:
 
 def located_spans(spans: DataFrame, plain: str, chars: int = 200) -> DataFrame:
     """Adds start_pos and context: the nth span of a label and text takes the nth place, without overlaps,
-    where its text occurs in the document's plain text; context is squeezed lower text around it."""
-    nth = F.row_number().over(Window.partitionBy("doc_id", "labelname", "text").orderBy("seq"))
+    where its text occurs in the document's plain text; context is squeezed lower text around it.  Spans that have
+    their nth already stay where they are; others are brought together, each with its text, to be numbered."""
+    if "nth" not in spans.columns:
+        spans = spans.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "labelname", "text").orderBy("seq")))
     # Within a quotation \E would end it: it is quoted on its own.
     parts = F.split(F.col(plain), F.concat(F.lit(r"\Q"), F.replace(F.col("text"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), -1)
     head = F.aggregate(F.slice(parts, 1, F.col("nth")), F.lit(0), lambda a, p: a + F.length(p))
@@ -172,4 +174,4 @@ def located_spans(spans: DataFrame, plain: str, chars: int = 200) -> DataFrame:
     low = F.greatest(F.col("start_pos") - chars, F.lit(0))
     size = F.when(F.col("start_pos") < 0, chars).otherwise(F.col("start_pos") - low + F.length("text") + chars)
     around = F.col(plain).substr(low + 1, size)
-    return spans.withColumn("nth", nth).withColumn("start_pos", at).withColumn("context", F.trim(F.lower(F.regexp_replace(around, r"(?U)\s+", " ")))).drop("nth")
+    return spans.withColumn("start_pos", at).withColumn("context", F.trim(F.lower(F.regexp_replace(around, r"(?U)\s+", " ")))).drop("nth")

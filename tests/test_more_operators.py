@@ -1,5 +1,6 @@
 """Names, prompts, charsets, registries, files and other operators on hand-made rows."""
 
+import hashlib
 import io
 import json
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from annotara.functions import labels
 from annotara.functions import tokens as T
-from annotara.operators import assistants, encoders, extraction, output, registry, retrieval, spans
+from annotara.operators import assistants, encoders, extraction, output, registry, retrieval, spans, stats
 from annotara.plans import drivers, more
 from annotara.sources import readers, sinks, staging
 from annotara.streaming import rates
@@ -120,6 +121,25 @@ def test_files_in_any_charset_are_read(spark, tmp_path):
     assert {(r.charset, r.html) for r in readers.html_files_detected(spark, f"file://{tmp_path}").collect()} == {("utf-16", "é“"), ("iso-8859-1", "café")}
 
 
+SPANS_HTML = '<body>x <manual_label labelname="Title" id="1">a</manual_label> a <manual_label labelname="title">a</manual_label> <auto_label labelname="source">b</auto_label></body>'
+
+
+def test_spans_of_html_are_located_where_they_are_read(spark):
+    """Nothing is brought together: rows hold their document's text, which would be moved once per span."""
+    found = spans.located_spans(extraction.span_rows(spark.createDataFrame([("d", SPANS_HTML), ("e", None)], "doc_id string, html string")), "plain")
+    assert [(r.seq, r.labelname, r.text, r.start_pos) for r in found.orderBy("seq").collect()] == [(0, "title", "a", 2), (1, "title", "a", 4), (2, "source", "b", 8)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_a_document_with_spans_is_one_row(spark):
+    """Its text leaves the worker once, in batches of a bounded size."""
+    docs = spark.createDataFrame([(str(i), SPANS_HTML.replace("</body>", " y" * 200_000)) for i in range(12)] + [("e", "<p>no label</p>")], "doc_id string, html string").coalesce(1)
+    rows = extraction.document_spans(docs)
+    assert sorted((r.doc_id, len(r.plain), [(x.seq, x.nth) for x in r.spans]) for r in rows.collect()) == sorted((str(i), len("x a a a b") + 400_000, [(0, 1), (1, 2), (2, 1)]) for i in range(12))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
+
+
 def test_span_texts_may_hold_any_characters(spark):
     rows = spark.createDataFrame([("d", 0, "title", "\\E.*\\Q", "a \\E.*\\Q b \\E.*\\Q"), ("d", 1, "title", "\\E.*\\Q", "a \\E.*\\Q b \\E.*\\Q"), ("d", 2, "title", "(x", "a \\E.*\\Q b \\E.*\\Q")], "doc_id string, seq int, labelname string, text string, plain string")
     assert [r.start_pos for r in spans.located_spans(rows, "plain").orderBy("seq").collect()] == [2, 11, -1]
