@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as T
 from ..operators import assistants, extraction, output
-from ..sources.staging import shared_dir
+from ..sources.staging import shared_dir, small_batches
 from ..streaming import rates
 from . import fixtures as X
 from .oracles import LINES, MENTIONS
@@ -55,8 +55,10 @@ SELECT page_id, error_type = 'none' AS passed, error_type FROM e"""
 @query
 def align_protected(spark, d):
     """Every line with words lost and labels put in, brought back: labels stay, text is the line's."""
-    t = T.tokenize(F.col("norm"))
-    rows = X.lines(spark, d).select("doc_id", "seq", T.decode(t).alias("original"), T.decode(F.concat(F.array(F.lit('<auto_label labelname="title">')), F.slice(t, 1, 3), F.array(F.lit("</auto_label>")), F.slice(t, 6, F.greatest(F.size(t), F.lit(1))))).alias("processed"))
+    small_batches(spark)
+    token = T.TOKEN.removeprefix("(?U)")  # three are labelled, two more are lost
+    processed = F.regexp_replace("norm", f"(?U)^((?:{token}){{0,3}})(?:{token}){{0,2}}", '<auto_label labelname="title">$1</auto_label>')
+    rows = X.lines(spark, d).select("doc_id", "seq", F.col("norm").alias("original"), processed.alias("processed"))
     done = rows.select("doc_id", "seq", "original", output.align_column("original", "processed").alias("aligned"))
     return done.select("doc_id", "seq", F.md5(T.without_auto_labels(F.col("aligned"))).alias("text"), (F.col("aligned") != F.col("original")).alias("labelled"))
 

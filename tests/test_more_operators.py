@@ -215,6 +215,35 @@ def test_docids_applied_report_missing_ids(spark):
     assert got == {"d": (2, ["5"]), "e": (0, ["0"]), "f": (0, [])}
 
 
+# -- alignment, draws
+
+
+def test_few_steps_in_long_texts_take_no_table():
+    """A table of all cells would take 40 GB here."""
+    want = [f"w{i % 7}" for i in range(100_000)]
+    have = ["<auto_label>", *want[:3], "</auto_label>", *want[5:90_000], "z", *want[90_000:]]
+    cost, ops = output.protected_alignment(want, have, lambda t: t.startswith("<"))
+    got = output.applied(have, ops, lambda t: t.startswith("<"))
+    assert cost == 5 and [t for t in got if not t.startswith("<")] == want and len(got) == len(want) + 2
+
+
+def test_texts_are_aligned_like_their_tokens():
+    rng = np.random.default_rng(3)
+    parts = ["ab", "c", " ", "  ", "\n", ",", "<auto_label>", "</auto_label>", "<i>", "<", ">", "é"]
+    for _ in range(3000):
+        head, other, tail = ("".join(rng.choice(parts, rng.integers(0, 7))) for _ in range(3))
+        a, b = head + tail, other + tail
+        assert output.aligned_text(a, b) == "".join(output.aligned(output.tokenize(a), output.tokenize(b)))
+
+
+def test_steps_near_the_diagonal_are_those_of_the_whole_table(monkeypatch):
+    rng = np.random.default_rng(4)
+    cases = [tuple([str(x) for x in rng.integers(0, k, rng.integers(0, 14))] for k in (4, 5)) for _ in range(400)]
+    near = [output.protected_alignment(a, b, lambda t: t == "0") for a, b in cases]
+    monkeypatch.setattr(output, "NEAR", 0)
+    assert near == [output.protected_alignment(a, b, lambda t: t == "0") for a, b in cases]
+
+
 # -- tables, files, streams
 
 
